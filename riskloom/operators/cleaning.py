@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import vocab as v
-from riskloom.operators.ordered import join_groups, long_form, quantile_columns, quantiles
+from riskloom.operators.ordered import join_groups, long_form, quantile_columns, quantiles, small_side
 
 
 def standardize_columns(df: DataFrame, require_target: bool = True) -> DataFrame:
@@ -136,7 +136,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     """
     hashed = df.withColumn("_hash", F.xxhash64(*_normalized(df)))
     repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
-    suspects = hashed.join(repeated, "_hash", "left_semi")
+    suspects = hashed.join(small_side(repeated), "_hash", "left_semi")
     sets = suspects.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
     return sets.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"))
 
