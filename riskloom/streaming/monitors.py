@@ -17,7 +17,7 @@ from riskloom import vocab as v
 from riskloom.functions.decisions import with_decisions
 from riskloom.operators import drift
 from riskloom.operators.calibration import edges_below
-from riskloom.operators.validity import with_faults
+from riskloom.operators.validity import accepted, rejected
 from riskloom.runtime import scratch_path
 
 WATERMARK = "60 minutes"
@@ -191,6 +191,4 @@ def escalations(
 
 def decisions(stream: DataFrame, score: str = "score", keep: Sequence[str] = (v.KEY,)) -> tuple[DataFrame, DataFrame]:
     """Two stateless streams: decisions for valid applications, and rejects with their faults."""
-    checked = with_faults(stream)
-    good = with_decisions(checked.where("valid"), score, keep=keep)
-    return good, checked.where("NOT valid").select(*keep, "faults")
+    return with_decisions(accepted(stream), score, keep=keep), rejected(stream).select(*keep, "faults")
