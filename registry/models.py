@@ -1 +1,149 @@
-"""Placeholder."""
+"""Training, calibration, scoring and explanation jobs (row checks only, save where noted)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from registry.common import panel, query
+from riskloom import vocab as v
+from riskloom.functions.features import with_features
+from riskloom.operators import attribution
+from riskloom.operators.classifier import ranking_metrics
+from riskloom.operators.splits import stratified_split
+from riskloom.plans import scoring, training
+from riskloom.runtime import pin, scratch_path
+from riskloom.sources.runs import append_run, run_row
+
+# settings small enough for a check; the published ones are the defaults of the library
+FEW_TREES = {"maxIter": 5, "maxDepth": 3}
+INPUTS = ["LIMIT_BAL", "AGE", "PAY_0", "PAY_2", "BILL_AMT1", "PAY_AMT1", "utilization_1", "payment_ratio_1"]
+
+
+def featured(spark, folder, features=tuple(v.MODEL_FEATURES)):
+    return training.prepare(with_features(panel(spark, folder).drop("score"), "notebook"), features)
+
+
+def trained(spark, folder, kind="gradient_boosting", calibration="isotonic", **settings):
+    rows = with_features(panel(spark, folder).drop("score"), "notebook")
+    return training.train(rows, kind, calibration, **settings)
+
+
+def metric_rows(result):
+    return result["metrics"].select("split", "threshold", "auc_roc", "ks", "brier", "recall", "precision")
+
+
+@query("train_gradient_boosting")
+def _(spark, folder):
+    return metric_rows(trained(spark, folder, **FEW_TREES))
+
+
+@query("train_random_forest")
+def _(spark, folder):
+    return metric_rows(trained(spark, folder, "random_forest", "sigmoid", numTrees=10, maxDepth=5))
+
+
+@query("train_logistic_regression")
+def _(spark, folder):
+    return metric_rows(trained(spark, folder, "logistic_regression", "none", maxIter=50))
+
+
+@query("balanced_logistic_regression")
+def _(spark, folder):
+    rows = pin(featured(spark, folder))
+    model = training.fit_model(rows, "logistic_regression", training.plain_features(), balanced=True, scale=True, maxIter=50)
+    return ranking_metrics(training.scored(model, rows))
+
+
+@query("calibrated_scores_isotonic")
+def _(spark, folder):
+    rows = panel(spark, folder).select("ID", v.TARGET, F.col("score").alias("raw"))
+    calibrator = training.fit_calibrator(rows, "isotonic", "raw")
+    return calibrator.apply(rows)
+
+
+@query("calibrated_scores_sigmoid")
+def _(spark, folder):
+    rows = panel(spark, folder).select("ID", v.TARGET, F.col("score").alias("raw"))
+    return training.fit_calibrator(rows, "sigmoid", "raw").apply(rows)
+
+
+@query("cross_calibrated_scores")
+def _(spark, folder):
+    parts = pin(stratified_split(featured(spark, folder, INPUTS)))
+    train, test = parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split")
+    return training.cross_calibrated_scores(
+        train, test, "logistic_regression", "isotonic", training.plain_features(INPUTS), k=3, maxIter=20
+    ).select("ID", "score")
+
+
+@query("cross_validation")
+def _(spark, folder):
+    rows = pin(featured(spark, folder, INPUTS))
+    folds = training.cross_validate(rows, "logistic_regression", training.plain_features(INPUTS), balanced=True, scale=True, maxIter=20)
+    return training.fold_summary(folds)
+
+
+@query("parameter_search")
+def _(spark, folder):
+    rows = pin(featured(spark, folder, INPUTS))
+    return training.search(rows, training.plain_features(INPUTS), trials=2, k=2, maxIter=3, maxDepth=2, minInstancesPerNode=5)
+
+
+@query("feature_importance")
+def _(spark, folder):
+    rows = pin(featured(spark, folder))
+    names = training.plain_features()
+    return training.feature_importance(training.fit_model(rows, "gradient_boosting", names, **FEW_TREES), names, spark)
+
+
+@query("batch_scoring_with_saved_model")
+def _(spark, folder):
+    names = training.plain_features()
+    path = scratch_path(spark, "model")
+    training.save_model(training.fit_model(pin(featured(spark, folder)), "gradient_boosting", names, **FEW_TREES), path)
+    raw = panel(spark, folder).drop("score")
+    return scoring.score_and_save(training.load_model(spark, path), raw, scratch_path(spark, "scored"), variant="notebook")
+
+
+@query("reference_scores")
+def _(spark, folder):
+    names = training.plain_features()
+    model = training.fit_model(pin(featured(spark, folder)), "random_forest", names, numTrees=5, maxDepth=4)
+    return scoring.model_scores(model, with_features(panel(spark, folder).drop("score"), "notebook"))
+
+
+@query("training_runs")
+def _(spark, folder):
+    rows = panel(spark, folder)
+    path = scratch_path(spark, "runs")
+    best = ranking_metrics(rows).first()
+    metrics = {"auc_roc": best["auc_roc"], "ks_statistic": best["ks"]}
+    append_run(run_row(spark, "panel", "given-score", {"source": {"column": "score"}}, metrics, {"model_type": "given"}), path)
+    return spark.read.parquet(path).select("experiment", "run_name", "status", F.to_json("params").alias("params"),
+                                           F.to_json("metrics").alias("metrics"))
+
+
+@query("model_record")
+def _(spark, folder):
+    split = stratified_split(panel(spark, folder))
+    return training.model_record(split, len(v.MODEL_FEATURES), training.GRADIENT_BOOSTING)
+
+
+def attributions(spark, folder):
+    rows = pin(featured(spark, folder, INPUTS))
+    names = training.plain_features(INPUTS)
+    model = training.fit_model(rows, "logistic_regression", names, scale=True, maxIter=20)
+    return attribution.shapley(
+        attribution.hash_sample(rows, 20), attribution.hash_sample(rows, 10, seed=7), names,
+        lambda states: training.scored(model, states), orders=2,
+    )
+
+
+@query("shapley_ranking")
+def _(spark, folder):
+    return attribution.attribution_ranking(attributions(spark, folder))
+
+
+@query("top_attributions_per_row")
+def _(spark, folder):
+    return attribution.top_attributions(attributions(spark, folder))
