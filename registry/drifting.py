@@ -10,7 +10,7 @@ from registry.metrics import RATES, cells_sql, items_sql, point_ctes
 from riskloom import vocab as v
 from riskloom.operators import classifier, drift, ranking
 from riskloom.plans.monitoring import drift_report, monitoring_run, report_json
-from riskloom.runtime import scratch_path
+from riskloom.runtime import pin, scratch_path
 from riskloom.sources.files import append_report, latest_report
 
 CUT = "TIMESTAMP '1998-06-01'"
@@ -19,7 +19,7 @@ PANEL_FEATURES = v.RAW_FEATURES
 
 
 def sides(spark, folder):
-    app = panel(spark, folder)
+    app = pin(panel(spark, folder))  # derived by joins and read several times, so written once
     return app.where("period = 0"), app.where("period = 1")
 
 

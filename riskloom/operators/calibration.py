@@ -16,12 +16,14 @@ def equal_edges(bins: int = 10) -> list[float]:
     return [i * (1.0 / bins) for i in range(1, bins)]
 
 
-def edges_below(value: Column, edges: Sequence[float] | Column, inclusive: bool) -> Column:
-    """How many edges lie below ``value`` (or at it, if inclusive): the bin number."""
-    if isinstance(edges, Column):
-        test = (lambda e: e <= value) if inclusive else (lambda e: e < value)
-        return F.size(F.filter(edges, test))
-    tests = [(value >= e) if inclusive else (value > e) for e in edges]
+def edges_below(value: Column, edges: Sequence[float] | Column, inclusive: bool, count: int | None = None) -> Column:
+    """How many edges lie below ``value`` (or at it, if inclusive): the bin number.
+
+    ``edges`` is a list or an array column of ``count`` entries; either way the result is a
+    sum of plain comparisons, which compiles.
+    """
+    each = [edges[i] for i in range(count)] if isinstance(edges, Column) else list(edges)
+    tests = [(value >= e) if inclusive else (value > e) for e in each]
     return sum((t.cast("int") for t in tests), F.lit(0))
 
 
@@ -50,7 +52,7 @@ def quantile_reliability(df: DataFrame, bins: int = 10, score: str = "score", la
     shares = [i / bins for i in range(1, bins)]
     edges = quantiles(df.where(F.col(label).isNotNull()), [score], shares).select("q")
     rows = _scored(df, score, label, ()).crossJoin(F.broadcast(edges))  # one row
-    return _reliability(rows.withColumn("bin", edges_below(F.col("_score"), F.col("q"), False)), ())
+    return _reliability(rows.withColumn("bin", edges_below(F.col("_score"), F.col("q"), False, bins - 1)), ())
 
 
 def calibration_error(

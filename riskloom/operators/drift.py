@@ -24,10 +24,10 @@ def bin_edges(reference: DataFrame, features: Sequence[str], bins: int = 10, met
     return quantiles(reference, features, shares, method=method).select("feature", F.col("q").alias("edges"))
 
 
-def _place(values: DataFrame, edges: DataFrame) -> DataFrame:
+def _place(values: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
     """Left-closed bin numbers; edges are one row per feature."""
     placed = values.join(F.broadcast(edges), "feature")
-    return placed.withColumn("bin", edges_below(F.col("value"), F.col("edges"), True)).drop("edges")
+    return placed.withColumn("bin", edges_below(F.col("value"), F.col("edges"), True, bins - 1)).drop("edges")
 
 
 def bin_counts(
@@ -43,7 +43,7 @@ def bin_counts(
         long_form(table, features).withColumn("_side", F.lit(side)) for side, table in ((0, reference), (1, production))
     ]
     counted = (
-        _place(sides[0].unionByName(sides[1]), edges).groupBy("feature", F.col("bin").alias("_bin"))
+        _place(sides[0].unionByName(sides[1]), edges, bins).groupBy("feature", F.col("bin").alias("_bin"))
         .agg(F.count_if(F.col("_side") == 0).alias("_e"), F.count_if(F.col("_side") == 1).alias("_a"))
     )
     return spread_over_bins(counted, ["feature"], bins)
@@ -87,28 +87,35 @@ def psi(
     return index_of_counts(bin_counts(reference, production, [column], bins, method), eps=eps).drop("feature")
 
 
-def csi(
-    reference: DataFrame, production: DataFrame, features: Sequence[str] | None = None, bins: int = 10,
-    eps: float = v.PSI_EPSILON, method: str = "exact",
+def feature_indices(
+    reference: DataFrame, production: DataFrame, features: Sequence[str], bins: int = 10, eps: float = v.PSI_EPSILON,
+    method: str = "exact",
 ) -> DataFrame:
-    """Rows (feature, csi), one job for all features.
+    """Rows (feature, psi, n_expected, n_actual), one job for all features.
 
     A feature the reference lacks gets 0 with a warning; one that production lacks is skipped.
     """
-    features = list(reference.columns if features is None else features)
     present = [f for f in features if f in production.columns]
-    unknown = [f for f in present if f not in reference.columns]
-    for feature in unknown:
-        log.warning("feature %s not found in the reference", feature)
     known = [f for f in present if f in reference.columns]
     rows = index_of_counts(bin_counts(reference, production, known, bins, method), eps=eps)
-    rows = rows.select("feature", F.col("psi").alias("csi"))
+    unknown = [f for f in present if f not in known]
+    for feature in unknown:
+        log.warning("feature %s not found in the reference", feature)
     if unknown:
-        zeros = reference.sparkSession.createDataFrame([(f, 0.0) for f in unknown], "feature string, csi double")
-        rows = rows.unionByName(zeros)
+        schema = "feature string, psi double, n_expected bigint, n_actual bigint"
+        rows = rows.unionByName(reference.sparkSession.createDataFrame([(f, 0.0, None, None) for f in unknown], schema))
     return rows
 
 
+def csi(
+    reference: DataFrame, production: DataFrame, features: Sequence[str] | None = None, bins: int = 10,
+    eps: float = v.PSI_EPSILON, method: str = "exact",
+) -> DataFrame:
+    """Rows (feature, csi) of the asked features, all of the reference's by default."""
+    features = list(reference.columns if features is None else features)
+    return feature_indices(reference, production, features, bins, eps, method).select("feature", F.col("psi").alias("csi"))
+
+
 def feature_report(indices: DataFrame, warning: float = v.PSI_WARNING, critical: float = v.PSI_CRITICAL) -> DataFrame:
     """CSI rows with status (from the unrounded value) and the drifted flag."""
     status = psi_status(F.col("csi"), warning, critical)
@@ -180,11 +187,9 @@ def with_ks_decay(row: DataFrame, limit: float = v.KS_DECAY_LIMIT) -> DataFrame:
 
 def score_stats(reference: DataFrame, production: DataFrame, score: str = "score") -> DataFrame:
     """One row of mean, population deviation and exact median on both sides."""
-    both = reference.select(F.lit("reference").alias("side"), F.col(score).alias("score")).unionByName(
-        production.select(F.lit("production").alias("side"), F.col(score).alias("score"))
-    )
+    both = both_sides(reference, production, [F.col(score).alias("score")])
     moments = both.groupBy("side").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
-    rows = moments.join(median(both, "score", ["side"]), "side")
+    rows = moments.join(F.broadcast(median(both, "score", ["side"])), "side")  # two rows
     cells = [
         F.max(F.when(F.col("side") == side, F.col(stat))).alias(f"{stat}_{side}")
         for stat in ("mean", "std", "median") for side in ("reference", "production")
@@ -216,20 +221,32 @@ def drift_alerts() -> Column:
     )
 
 
+def both_sides(reference: DataFrame, production: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The two tables stacked, with ``side``."""
+    marked = [t.select(F.lit(name).alias("side"), *columns) for t, name in ((reference, "reference"), (production, "production"))]
+    return marked[0].unionByName(marked[1])
+
+
 def monitor_scores(
     reference: DataFrame, production: DataFrame, score: str = "score", label: str | None = None,
-    compat: bool = False,
+    compat: bool = False, index: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: PSI with status, score statistics, KS decay if labels are given, alert texts."""
-    row = psi(reference, production, score).select("psi", F.col("n_actual").alias("n_samples"))
-    row = row.withColumn("psi_status", psi_status(F.col("psi")))
+    """One row: PSI with status, score statistics, KS decay if labels are given, alert texts.
+
+    ``index`` is the PSI row if it is known already.
+    """
+    row = psi(reference, production, score) if index is None else index
+    row = row.select("psi", F.col("n_actual").alias("n_samples")).withColumn("psi_status", psi_status(F.col("psi")))
     row = row.crossJoin(F.broadcast(score_stats(reference, production, score)))  # one row each
     if label is None:
         empty = {"baseline": "double", "current": "double", "ks_decay": "double", "ks_status": "string"}
         row = row.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
     else:
-        current = ranking_metrics(production, score, label).select(F.col("ks_two_sided").alias("current"))
-        pair = baseline_ks(reference, score, label, compat).crossJoin(F.broadcast(current))
+        ks = ranking_metrics(both_sides(reference, production, [score, label]), score, label, ["side"])
+        at = lambda side: F.max(F.when(F.col("side") == side, F.col("ks_two_sided")))
+        pair = ks.agg(at("reference").alias("baseline"), at("production").alias("current"))
+        if compat:
+            pair = pair.drop("baseline").crossJoin(F.broadcast(baseline_ks(reference, score, label, compat)))
         row = row.crossJoin(F.broadcast(with_ks_decay(pair)))
     return row.withColumn("alerts", drift_alerts())
 

@@ -122,33 +122,31 @@ def _candidates(values: DataFrame, by: Sequence[str], shares: Sequence[float]) -
     keep their key; all others only count towards the gap they fall into, so about
     0.2 % of the rows per share are shuffled, and the ranks stay exact.
     """
+    m = len(shares)
     low = [max(0.0, p - MARGIN) for p in shares]
     high = [min(1.0, p + MARGIN) for p in shares]
     sketch = values.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("spread", low, ACCURACY).alias("_low"),
-        F.percentile_approx("spread", high, ACCURACY).alias("_high"),
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("spread", low + high, ACCURACY).alias("_ends")
     )
     infinity = F.lit(math.inf)
     few = F.col("_n") < FEW_ROWS
-
-    def bracket(i: int) -> Column:
-        lower = F.when(few | F.lit(low[i] <= 0), -infinity).otherwise(F.col("_low")[i])
-        upper = F.when(few | F.lit(high[i] >= 1), infinity).otherwise(F.col("_high")[i])
-        return F.struct(lower.alias("low"), upper.alias("high"))
-
-    brackets = sketch.select(*by, F.array(*[bracket(i) for i in range(len(shares))]).alias("_brackets"))
+    lower = [F.when(few | F.lit(low[i] <= 0), -infinity).otherwise(F.col("_ends")[i]) for i in range(m)]
+    upper = [F.when(few | F.lit(high[i] >= 1), infinity).otherwise(F.col("_ends")[m + i]) for i in range(m)]
+    brackets = sketch.select(*by, F.array(*lower).alias("_lower"), F.array(*upper).alias("_upper"))
     # one row per column is bounded by the schema; with more groups the rows are counted
     brackets = F.broadcast(brackets) if set(by) <= {"feature"} else small_side(brackets)
     placed = join_groups(values, brackets, by)
     spread = F.col("spread")
-    inside = F.exists("_brackets", lambda b: (b["low"] <= spread) & (spread <= b["high"]))
-    ends = F.transform(F.filter("_brackets", lambda b: b["high"] < spread), lambda b: b["high"])
+    inside = reduce(
+        lambda a, b: a | b, [(F.col("_lower")[i] <= spread) & (spread <= F.col("_upper")[i]) for i in range(m)]
+    )
+    passed = [F.when(F.col("_upper")[i] < spread, F.col("_upper")[i]).otherwise(-infinity) for i in range(m)]
+    gap_start = F.greatest(*passed) if m > 1 else passed[0]
     return (
-        placed.withColumn("_inside", inside)
+        placed.select(*by, "spread", "key", inside.alias("_inside"), gap_start.alias("_gap_start"))
         .select(
             *by,
-            F.when(F.col("_inside"), spread).otherwise(F.coalesce(F.array_max(ends), -infinity)).alias("spread"),
+            F.when(F.col("_inside"), spread).otherwise(F.col("_gap_start")).alias("spread"),
             (~F.col("_inside")).alias("gap"),
             F.when(F.col("_inside"), F.col("key")).alias("key"),
         )

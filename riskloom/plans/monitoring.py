@@ -18,8 +18,14 @@ def drift_report(
     label: str | None = None, compat: bool = False,
 ) -> DataFrame:
     """One row: score monitoring, feature map, drifted names, overall status and recommendation."""
-    scores = drift.monitor_scores(reference, production, score, label, compat)
-    report = pin(drift.feature_report(drift.csi(reference, production, features)))  # one row per feature
+    # the score is indexed in the same job as the features; one row per column remains
+    asked = list(dict.fromkeys([*features, score]))
+    indices = pin(drift.feature_indices(reference, production, asked))
+    scores = drift.monitor_scores(
+        reference, production, score, label, compat, indices.where(F.col("feature") == score)
+    )
+    chosen = indices.where(F.col("feature").isin(list(features)))
+    report = drift.feature_report(chosen.select("feature", F.col("psi").alias("csi")))
     drifted = drift.drifted_features(report)
     entries = report.agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", F.struct("csi", "status"))))).alias("features")
