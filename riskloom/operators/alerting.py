@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import texts
 from riskloom.functions.decisions import rule_table
+from riskloom.operators.ordered import join_groups
 
 # fixed values: rules, channels and limits of the alert settings
 DRIFT_THRESHOLD = 0.2
@@ -156,27 +157,37 @@ def escalations(
 ) -> DataFrame:
     """Alerts with no resolution of their key within ``hours``; they become critical.
 
-    Time is cut into slots of that length, so a resolution in time lies in the alert's own
-    slot or the next.  Both tables meet in (key, slot) groups, never as pairs of all alerts
-    and all resolutions; from the next slot only its first resolution matters.
+    The next resolution after an alert lies in the alert's own minute or is the first of a
+    later minute.  The first kind is found inside (key, minute) groups; the second from one
+    row per key and minute, which is all a busy key leaves to be put in order.  Alerts and
+    resolutions are never paired with each other.
     """
-    seconds = hours * 3600
-    raised = alerts.withColumn("_slot", _slot(ts, seconds)).withColumn("_resolved", F.lit(None).cast("timestamp"))
-    solved = resolutions.select(*key, F.col(ts).alias("_resolved")).withColumn("_slot", _slot("_resolved", seconds))
-    first = solved.groupBy(*key, "_slot").agg(F.min("_resolved").alias("_next")).withColumn("_slot", F.col("_slot") - 1)
-    # resolutions are collapsed to distinct instants and laid between the alerts of their slot
-    marks = solved.dropDuplicates().withColumn(ts, F.col("_resolved")).withColumn("_mark", F.lit(True))
-    timeline = raised.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
-    later = (
-        Window.partitionBy(*key, "_slot").orderBy(F.desc(ts), F.asc("_mark"))
-        .rowsBetween(Window.unboundedPreceding, -1)
+    minute = 60
+    raised = alerts.withColumn("_slot", _slot(ts, minute))
+    solved = (
+        resolutions.select(*key, F.col(ts).alias("_resolved")).withColumn("_slot", _slot("_resolved", minute))
+        .dropDuplicates()
     )
+    first = solved.groupBy(*key, "_slot").agg(F.min("_resolved").alias("_first"))
+    asked = raised.select(*key, "_slot").distinct().withColumn("_first", F.lit(None).cast("timestamp"))
+    minutes = first.unionByName(asked).groupBy(*key, "_slot").agg(F.min("_first").alias("_first"))
+    ahead = Window.partitionBy(*key).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    following = minutes.select(*key, "_slot", F.min("_first").over(ahead).alias("_next"))
+
+    marks = solved.withColumn(ts, F.col("_resolved")).withColumn("_mark", F.lit(True))
+    timeline = (
+        raised.withColumn("_resolved", F.lit(None).cast("timestamp")).withColumn("_mark", F.lit(False))
+        .unionByName(marks, allowMissingColumns=True)
+    )
+    later = Window.partitionBy(*key, "_slot").orderBy(F.desc(ts), F.asc("_mark")).rowsBetween(Window.unboundedPreceding, -1)
     seen = timeline.withColumn("_own", F.min("_resolved").over(later)).where("NOT _mark")
-    joined = seen.join(first, [*key, "_slot"], "left")
     found = F.least("_own", "_next")
-    late = found.isNull() | (F.unix_micros(found) - F.unix_micros(F.col(ts)) > seconds * 1_000_000)
-    due = F.timestamp_micros(F.unix_micros(F.col(ts)) + seconds * 1_000_000)
-    return joined.where(late).select(*alerts.columns, due.alias("escalate_at"), F.lit("critical").alias("escalated_to"))
+    limit = hours * 3_600_000_000
+    late = found.isNull() | (F.unix_micros(found) - F.unix_micros(F.col(ts)) > limit)
+    due = F.timestamp_micros(F.unix_micros(F.col(ts)) + limit)
+    return join_groups(seen, following, [*key, "_slot"], "left").where(late).select(
+        *alerts.columns, due.alias("escalate_at"), F.lit("critical").alias("escalated_to")
+    )
 
 
 def reject_share_alerts(

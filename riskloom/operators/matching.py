@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.ordered import join_groups
+
 
 def match_actuals(predictions: DataFrame, actuals: DataFrame, key: str = "ID") -> DataFrame:
     """Predictions with the outcome of the same key."""
@@ -35,9 +37,6 @@ def with_share(counts: DataFrame, count: str = "n", by: Sequence[str] = (), name
     The total is aggregated with map-side combine and joined back, so a large group is not
     gathered in one task.
     """
-    if not by:
-        total = counts.agg(F.sum(count).alias("_total"))
-        whole = counts.crossJoin(F.broadcast(total))  # one row
-    else:
-        whole = counts.withColumn("_total", F.sum(count).over(Window.partitionBy(*by)))
-    return whole.withColumn(name, F.try_divide(F.col(count), F.col("_total"))).drop("_total")
+    total = counts.groupBy(*by).agg(F.sum(count).alias("_total"))
+    share = F.try_divide(F.col(count), F.col("_total"))
+    return join_groups(counts, total, by).withColumn(name, share).drop("_total")

@@ -107,7 +107,7 @@ def running_totals(
         *[F.sum(f"_{s}").over(everything).alias(f"{s}_total") for s in sums],
         *[F.lag(f"_{c}_last").over(along).alias(f"_{c}_prior") for c in carry],
     )
-    joined = join_groups(local, offsets, [*by, "_bucket"])
+    joined = join_groups(local, small_side(offsets), [*by, "_bucket"])
     shifted = {f"{s}_below": F.col(f"{s}_below") + F.col(f"_{s}_before") for s in sums}
     bridged = {f"{c}_prev": F.coalesce(f"{c}_prev", f"_{c}_prior") for c in carry}
     return joined.withColumns({**shifted, **bridged}).drop(

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.ordered import quantiles
+from riskloom.operators.ordered import join_groups, quantiles, running_totals
 
 
 def by_score(df: DataFrame, score: str = "score", key: str = "ID") -> DataFrame:
@@ -42,8 +42,13 @@ RANKING_METRICS = ["auc_roc", "ks_statistic", "expected_savings"]
 
 
 def rank_models(models: DataFrame, metrics: Sequence[str] = tuple(RANKING_METRICS)) -> DataFrame:
-    """Models with their rank by several metrics in turn (a model table is a handful of rows)."""
-    return models.withColumn("rank", F.rank().over(Window.orderBy(*[F.desc(m) for m in metrics])))
+    """Models with their rank by several metrics in turn; equal rows share a rank."""
+    key = F.struct(*[(-F.col(m)).alias(m) for m in metrics])
+    keyed = models.withColumn("_key", key)
+    points = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).withColumn("_image", F.col("_key")[metrics[0]])
+    places = running_totals(points, "_key", ["_n"], spread="_image")
+    ranks = places.select("_key", (F.col("_n_below") + 1).cast("int").alias("rank"))
+    return join_groups(keyed, ranks, ["_key"]).drop("_key")
 
 
 def compare_models(tables: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:

@@ -23,10 +23,18 @@ from riskloom.runtime import scratch_path
 WATERMARK = "60 minutes"
 
 
-def read_table_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Parquet files below a path pattern as a stream; the trigger size bounds a micro-batch."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_table_stream(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None, bytes_per_trigger: int = 16 * 2**30
+) -> DataFrame:
+    """Parquet files below a path pattern as a stream.
+
+    The trigger size bounds a micro-batch, and with it what one key can bring to a stateful
+    operator at a time: choose it so that a busy key's share fits a task.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_trigger is not None:
+        return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return reader.option("maxBytesPerTrigger", bytes_per_trigger).parquet(path)
 
 
 def run_to_table(stream: DataFrame, path: str | None = None, name: str = "stream") -> DataFrame:
