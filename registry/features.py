@@ -120,19 +120,19 @@ def _(spark, folder):
 
 
 TREND_SQL = (
-    "SELECT ID, (" + "+".join(f"BILL_AMT{7 - t}*({(t - 3.5) / 17.5!r}e0)" for t in MONTHS) + ") AS billing_slope, ("
+    "SELECT ID, round(" + "+".join(f"BILL_AMT{7 - t}*({(t - 3.5) / 17.5!r}e0)" for t in MONTHS) + ", 4) AS billing_slope, ("
     + "+".join(f"({_ratio_sql('notebook', m)})" for m in MONTHS) + ")/6e0 AS avg_payment_ratio, "
     + "(PAY_0+PAY_2+PAY_3+PAY_4+PAY_5+PAY_6)/6e0 AS avg_delay, CAST(PAY_0-PAY_6 AS INT) AS delay_change, "
     + f"PAY_0*({_utilization_sql('notebook')}) AS delay_x_utilization, AGE*LIMIT_BAL AS age_x_limit FROM app"
 )
 
 
-@query("trend_features", rounded_sql(["billing_slope", "avg_payment_ratio", "avg_delay", "delay_x_utilization"], TREND_SQL))
+@query("trend_features", rounded_sql(["avg_payment_ratio", "avg_delay", "delay_x_utilization"], TREND_SQL, 9))
 def _(spark, folder):
     made = features.with_trend_features(panel(spark, folder))
     return rounded(made.select(
-        "ID", "billing_slope", "avg_payment_ratio", "avg_delay", "delay_change", "delay_x_utilization", "age_x_limit"
-    ))
+        "ID", F.round("billing_slope", 4).alias("billing_slope"), "avg_payment_ratio", "avg_delay", "delay_change", "delay_x_utilization", "age_x_limit"
+    ), 9)
 
 
 @query("risk_bands_custom_cuts", f"""WITH {APP} SELECT ID, CASE WHEN score<0.3e0 THEN 'APROBADO' WHEN score<0.6e0 THEN 'REVISION' ELSE 'RECHAZO' END AS risk_band,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import texts
 from riskloom.functions.decisions import rule_table
-from riskloom.operators.ordered import join_groups
+from riskloom.operators.ordered import join_groups, small_side
 
 # fixed values: rules, channels and limits of the alert settings
 DRIFT_THRESHOLD = 0.2
@@ -90,7 +90,7 @@ def route(alerts: DataFrame, channels: DataFrame, asked: Sequence[str] | None =
         wanted = rule_table(alerts.sparkSession, [(c,) for c in asked], "channel string")
         known = channels.select("channel", F.lit(True).alias("known"))
         targets = wanted.join(known, "channel", "left").fillna(False, ["known"])
-    return alerts.crossJoin(F.broadcast(targets))
+    return alerts.crossJoin(small_side(targets))
 
 
 def rule_breaches(metrics: DataFrame, rules: Sequence[tuple] = tuple(PERFORMANCE_RULES)) -> DataFrame:

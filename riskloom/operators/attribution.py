@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import vocab as v
+from riskloom.operators.ordered import small_side
 
 # fixed values: sizes of the explained sample and of the background
 SAMPLE_ROWS = 100
@@ -37,7 +38,7 @@ def shapley(
         F.col(key).alias("_b"), F.array(*[F.col(f).cast("double") for f in names]).alias("_y")
     )
     turns = F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("_order")
-    walks = target.crossJoin(F.broadcast(base)).select("*", turns)  # both sides are samples of fixed size
+    walks = target.crossJoin(small_side(base)).select("*", turns)  # both sides are small samples
 
     def place(i: int):
         return F.struct(F.xxhash64(F.col(key), F.col("_b"), F.col("_order"), F.lit(i), F.lit(seed)).alias("h"), F.lit(i).alias("i"))

@@ -94,8 +94,8 @@ def bootstrap_replicates(
             out.append((replicate, int(key[0]), p.sum(), n.sum(), p[called].sum(), n[called].sum(), (p * (below + n / 2)).sum()))
         return pd.DataFrame(out, columns=["replicate", "block", "p", "n", "tp", "fp", "wins"])
 
-    parts = df.sparkSession.range((replicates + REPLICATES_PER_TASK - 1) // REPLICATES_PER_TASK)
-    copies = rows.select("block", "score", "pos", "neg").crossJoin(F.broadcast(parts.select(F.col("id").alias("part"))))
+    last_part = (replicates - 1) // REPLICATES_PER_TASK
+    copies = rows.select("block", "score", "pos", "neg", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last_part).cast("bigint"))).alias("part"))
     drawn = copies.groupBy("block", "part").cogroup(shares.groupBy("block", "part")).applyInPandas(
         draw_block, "replicate bigint, block bigint, p double, n double, tp double, fp double, wins double"
     )

@@ -54,7 +54,7 @@ def review_workload(
     """Hours and cost of manual review, and what is left of the savings."""
     reviewed = bands.where(F.col("band") == "REVISION").agg(F.coalesce(F.sum("clients"), F.lit(0)).alias("reviews"))
     hours = F.col("reviews") * F.lit(minutes) / 60.0
-    both = reviewed.crossJoin(F.broadcast(savings.select("expected_savings")))  # one row each
+    both = reviewed.crossJoin(F.broadcast(savings.agg(F.first("expected_savings").alias("expected_savings"))))  # one row each
     return both.withColumns({"review_hours": hours, "review_cost": hours * hourly_cost}).withColumn(
         "net_savings", F.col("expected_savings") - F.col("review_cost")
     )

@@ -72,8 +72,9 @@ def psi_per_window(
     counts: DataFrame, reference_counts: DataFrame, bins: int = 10, eps: float = v.PSI_EPSILON
 ) -> DataFrame:
     """Rows (window_start, psi, status, ...) from closed window counts and (bin, expected)."""
-    windows = counts.select("window_start").distinct()
-    spine = windows.crossJoin(F.broadcast(reference_counts.select("bin", "expected")))  # one row per bin
+    every_bin = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    windows = counts.select("window_start").distinct().select("window_start", every_bin)
+    spine = windows.join(reference_counts.select("bin", "expected"), "bin")
     full = spine.join(counts.select("window_start", "bin", "actual"), ["window_start", "bin"], "left").fillna(0, ["actual"])
     rows = drift.index_of_counts(full, ["window_start"], eps)
     return rows.withColumn("status", drift.psi_status(F.col("psi")))

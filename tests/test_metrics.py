@@ -154,3 +154,8 @@ def test_constant_column_histogram(spark):
 def test_absent_band_is_zero(spark):
     rows = summaries.band_distribution(spark.createDataFrame([("RECHAZO",)], "risk_band string")).collect()
     assert [(r["band"], r["clients"], r["percent"]) for r in rows] == [("APROBADO", 0, 0.0), ("REVISION", 0, 0.0), ("RECHAZO", 1, 100.0)]
+
+
+def test_many_values_is_decided_exactly(spark):
+    df = spark.range(2000).select((F.col("id") % 10).alias("ten"), (F.col("id") % 11).alias("eleven"), "id")
+    assert [ranking.has_many_values(df, c, 10) for c in ("ten", "eleven", "id")] == [False, True, True]
