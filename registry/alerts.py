@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.cleaning import psi_ctes, long_sql
+from registry.cleaning import long_sql, psi_ctes
 from registry.common import APP, panel, plain_time, quantile_sql, query, requests, rounded, rounded_sql
-from registry.drifting import PANEL_FEATURES, item_psi, item_sides, ITEM_FEATURES, sides
+from registry.drifting import ITEM_FEATURES, PANEL_FEATURES, grouped_psi_ctes, item_psi, item_sides, sides
 from registry.metrics import RATES, cells_sql, point_ctes
 
 from riskloom.functions.decisions import with_decisions, with_online_response
@@ -180,14 +180,16 @@ WEEKLY = """w AS (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, v
     avg(score) AS mean_score, avg(CAST(score<0.2e0 AS INT)) AS approval_share FROM w GROUP BY week)"""
 
 
-@query("weekly_report", f"""WITH {WEEKLY}
-    SELECT week, unnest(['service','service','proxies','proxies','proxies']) AS section,
+@query("weekly_report", f"""WITH {WEEKLY}, {grouped_psi_ctes("w", "week", "week='2024-01-01'", ["value"])}
+    SELECT grp AS week, 'drift' AS section, 'latency_ms' AS metric, round(psi,6) AS value FROM gp UNION ALL SELECT week, unnest(['service','service','proxies','proxies','proxies']) AS section,
     unnest(['avg_latency','total_predictions','high_risk_share','mean_score','approval_share']) AS metric,
     round(unnest([avg_latency,total_predictions,high_risk_share,mean_score,approval_share]),6) AS value FROM a""")
 def _(spark, folder):
     log = requests(spark, folder).withColumn("score", F.col("latency_ms") / 100.0)
     proxies = drift.monitor_proxies(log.withColumn("week", F.date_trunc("week", "ts")), ["week"])
-    report = operations.weekly_report(log, proxies)
+    weeks = log.withColumn("week", F.date_trunc("week", "ts"))
+    first = weeks.where(F.col("week") == F.lit("2024-01-01").cast("timestamp"))
+    report = operations.weekly_report(log, proxies, drift.indices_by(first, weeks, ["latency_ms"], ["week"]))
     return rounded(report.withColumn("week", F.date_format("week", "yyyy-MM-dd")))
 
 

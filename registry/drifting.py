@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.cleaning import long_sql, psi_ctes
-from registry.common import APP, ITEMS, labelled_documents, panel, quantile_sql, query, rounded, rounded_sql, scored_items
+from registry.common import APP, ITEMS, labelled_documents, panel, quantile_sql, quantiles_sql, query, rounded, rounded_sql, scored_items
 from registry.metrics import RATES, cells_sql, items_sql, point_ctes
 from riskloom import vocab as v
 from riskloom.operators import classifier, drift, ranking
@@ -253,3 +253,27 @@ def _(spark, folder):
     "SELECT lang, n, round(high_risk_share,6) AS high_risk_share, round(mean_score,6) AS mean_score, round(approval_share,6) AS approval_share FROM (SELECT", 1))
 def _(spark, folder):
     return rounded(drift.monitor_proxies(labelled_documents(spark, folder), ["lang"]).drop("alerts"))
+
+
+def grouped_psi_ctes(source: str, group: str, reference: str, columns) -> str:
+    """CTE ``gp`` (grp, feature, psi): each group of ``source`` against the rows where ``reference`` holds."""
+    rows = " UNION ALL ".join(
+        f"SELECT {group} AS grp, {reference} AS is_ref, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM {source}" for c in columns
+    )
+    return f"""gx AS ({rows}), ge AS (SELECT feature, {quantiles_sql("l", [i / 10 for i in range(1, 10)])} AS edges FROM
+      (SELECT feature, list_sort(list(value)) AS l FROM gx WHERE is_ref GROUP BY feature)),
+    gb AS (SELECT gx.*, len(list_filter(edges, lambda q: q<=value)) AS bin FROM gx JOIN ge USING (feature)),
+    gr AS (SELECT feature, r.range AS bin, (SELECT count(*) FROM gb WHERE is_ref AND gb.feature=ge.feature AND gb.bin=r.range) AS ne FROM ge, range(10) r),
+    ga AS (SELECT grp, feature, bin, count(*) AS na FROM gb GROUP BY ALL),
+    gc AS (SELECT g.grp, gr.feature, gr.bin, ne, coalesce(na, 0) AS na FROM (SELECT DISTINCT grp FROM gb) g CROSS JOIN gr
+      LEFT JOIN ga ON ga.grp=g.grp AND ga.feature=gr.feature AND ga.bin=gr.bin),
+    gs AS (SELECT grp, feature, (ne+0.0001e0)/sum(ne) OVER (PARTITION BY grp, feature) AS pe, (na+0.0001e0)/sum(na) OVER (PARTITION BY grp, feature) AS pa, ne, na FROM gc),
+    gp AS (SELECT grp, feature, sum((pa-pe)*ln(pa/pe)) AS psi, CAST(sum(ne) AS BIGINT) AS n_expected, CAST(sum(na) AS BIGINT) AS n_actual FROM gs GROUP BY grp, feature)"""
+
+
+@query("csi_by_month", f"""WITH {ITEMS}, {grouped_psi_ctes("items", "strftime(l_shipdate, '%Y-%m')", f"l_shipdate<{CUT}", ["l_quantity", "l_extendedprice"])}
+    SELECT grp AS "month", feature, round(psi,6) AS psi, n_expected, n_actual FROM gp""")
+def _(spark, folder):
+    items = scored_items(spark, folder).withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    reference = items.where(F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp_ntz"))
+    return rounded(drift.indices_by(reference, items, ["l_quantity", "l_extendedprice"], ["month"]))

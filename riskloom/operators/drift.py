@@ -116,6 +116,28 @@ def csi(
     return feature_indices(reference, production, features, bins, eps, method).select("feature", F.col("psi").alias("csi"))
 
 
+def indices_by(
+    reference: DataFrame, production: DataFrame, features: Sequence[str], by: Sequence[str], bins: int = 10,
+    eps: float = v.PSI_EPSILON, method: str = "exact",
+) -> DataFrame:
+    """Rows (by, feature, psi, n_expected, n_actual): each production group against one reference.
+
+    The reference is binned once; production is counted per (group, feature, bin) in one pass.
+    """
+    edges = bin_edges(reference, features, bins, method)
+    expected = spread_over_bins(
+        _place(long_form(reference, features), edges, bins).groupBy("feature", F.col("bin").alias("_bin"))
+        .agg(F.count(F.lit(1)).alias("_e"), F.lit(0).alias("_a")), ["feature"], bins,
+    ).select("feature", "bin", "expected")
+    groups = [*by, "feature"]
+    actual = spread_over_bins(
+        _place(long_form(production, features, by), edges, bins).groupBy(*groups, F.col("bin").alias("_bin"))
+        .agg(F.lit(0).alias("_e"), F.count(F.lit(1)).alias("_a")), groups, bins,
+    ).drop("expected")
+    both = actual.join(F.broadcast(expected), ["feature", "bin"])  # bins rows per column
+    return index_of_counts(both, groups, eps)
+
+
 def feature_report(indices: DataFrame, warning: float = v.PSI_WARNING, critical: float = v.PSI_CRITICAL) -> DataFrame:
     """CSI rows with status (from the unrounded value) and the drifted flag."""
     status = psi_status(F.col("csi"), warning, critical)

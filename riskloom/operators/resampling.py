@@ -11,6 +11,7 @@ from riskloom import vocab as v
 from riskloom.functions.decisions import ratio, stability_label
 from riskloom.operators.classifier import classification_metrics, score_points, to_long
 from riskloom.operators.ordered import quantiles, running_totals
+from riskloom.runtime import pin
 
 STABILITY_METRICS = ["recall", "precision", "f1", "auc_roc"]
 
@@ -123,4 +124,4 @@ def percentile_intervals(
 
 def bootstrap_intervals(df: DataFrame, replicates: int = 1000, **options) -> DataFrame:
     """95 % percentile intervals of recall, precision, F1 and AUC."""
-    return percentile_intervals(bootstrap_replicates(df, replicates, **options))
+    return percentile_intervals(pin(bootstrap_replicates(df, replicates, **options)))  # drawn once, one row each

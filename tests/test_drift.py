@@ -117,3 +117,11 @@ def test_p_value(spark):
 def test_proxies(spark):
     row = drift.monitor_proxies(column(spark, [0.1] * 9 + [0.9])).first()
     assert row["alerts"] == ["high_risk_share", "approval_share"] and row["mean_score"] == pytest.approx(0.18)
+
+
+def test_grouped_indices_equal_one_index_per_group(scored):
+    reference = scored.where("ID % 2 = 0")
+    rows = {r["grp"]: r for r in drift.indices_by(reference, scored, ["score"], ["grp"]).collect()}
+    for g in ("a", "b"):
+        one = drift.psi(reference, scored.where(F.col("grp") == g)).first()
+        assert rows[g]["psi"] == pytest.approx(one["psi"], rel=1e-9) and rows[g]["n_actual"] == one["n_actual"]
