@@ -28,6 +28,7 @@ ESCALATE_HOURS = 4
 ESCALATION_CHANNELS = ["teams", "email"]
 REJECT_SHARE = 30.0
 ERROR_RATE = 0.05
+MODEL_NAME = "credit-risk-model"
 
 
 def _text(number: Column) -> Column:
@@ -45,7 +46,7 @@ def drift_alerts(indices: DataFrame, threshold: float = DRIFT_THRESHOLD, critica
         texts.drift_message(F.col("csi"), limit).alias("message"),
         F.when(F.col("csi") < critical, "warning").otherwise("critical").alias("severity"),
         entries.alias("metrics"),
-        F.create_map(F.lit("alert_type"), F.lit("data_drift"), F.lit("model"), F.lit("credit-risk-model")).alias("metadata"),
+        F.create_map(F.lit("alert_type"), F.lit("data_drift"), F.lit("model"), F.lit(MODEL_NAME)).alias("metadata"),
     )
 
 
