@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import mixing, packing, toxicity
+from riskloom.llm import mixing, packing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL}
@@ -33,3 +33,4 @@ def _labelled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op3_toxicity"] = _labelled
+_over("op9_secrets", "documents")(secrets.secrets_report)
