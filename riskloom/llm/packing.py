@@ -116,27 +116,22 @@ def assign(lengths: list[int], capacity: int, linear: float = LINEAR, quadratic:
     tight: list[tuple[int, int]] = []  # by room, largest first
     pieces = []
     for item, length in enumerate(lengths):
+        while tight and -tight[0][0] >= length:
+            _, s = heapq.heappop(tight)
+            heapq.heappush(ready, (cost[s], s))
+        while ready and room[ready[0][1]] < length:
+            _, s = heapq.heappop(ready)
+            heapq.heappush(tight, (-room[s], s))
         at = 0
-        while at < length:
-            left = length - at
-            while tight and -tight[0][0] >= left:
-                _, s = heapq.heappop(tight)
-                heapq.heappush(ready, (cost[s], s))
-            while ready and room[ready[0][1]] < left:
-                _, s = heapq.heappop(ready)
-                if room[s]:
-                    heapq.heappush(tight, (-room[s], s))
-            if ready:
-                s, take = heapq.heappop(ready)[1], left
-            else:
-                s = heapq.heappop(tight)[1]
-                take = room[s]
+        while at < length:  # more than one turn only if nothing has room for all of it
+            s = heapq.heappop(ready)[1] if ready else heapq.heappop(tight)[1]
+            take = min(room[s], length - at)
             pieces.append((item, at, take, s, capacity - room[s]))
             room[s] -= take
             cost[s] += linear * take + quadratic * take * take
             at += take
             if room[s]:
-                heapq.heappush(ready, (cost[s], s))
+                heapq.heappush(tight, (-room[s], s))
     return pieces
 
 
