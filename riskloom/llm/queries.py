@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import jaccard, mixing, packing, secrets, toxicity
+from riskloom.llm import jaccard, lines, mixing, packing, secrets, toxicity, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL}
@@ -35,3 +35,5 @@ def _labelled(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["op3_toxicity"] = _labelled
 _over("op9_secrets", "documents")(secrets.secrets_report)
 _over("op4_ngram_jaccard", "documents")(jaccard.near_report)
+_over("op5_winnowing", "documents")(winnowing.edited_report)
+_over("op10_line_cleaning", "documents")(lines.quality_report)
