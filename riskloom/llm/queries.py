@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import jaccard, lines, mixing, packing, secrets, toxicity, winnowing
+from riskloom.llm import jaccard, licenses, lines, mixing, packing, secrets, threads, toxicity, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op6_warc": warc.SQL}
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,3 +37,6 @@ _over("op9_secrets", "documents")(secrets.secrets_report)
 _over("op4_ngram_jaccard", "documents")(jaccard.near_report)
 _over("op5_winnowing", "documents")(winnowing.edited_report)
 _over("op10_line_cleaning", "documents")(lines.quality_report)
+_over("op6_warc", "pages")(warc.archive_report)
+_over("op7_license_scan", "documents")(licenses.license_report)
+_over("op8_quotation_links", "conversations")(threads.link_quotations)
