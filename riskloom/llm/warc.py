@@ -5,8 +5,8 @@ with the smallest id is a response, the others are revisits that refer to it and
 A response's body longer than CHUNK bytes is framed by chunked transfer encoding, and a block
 longer than SEGMENT bytes is cut: the first part stays in the record, the others are
 continuation records that name their origin and their number, the last one the total length.
-Records lie in files of about FILE_BYTES in no order, written by Spark's text sink, which
-puts the end of a record after each row.
+Records lie in compressed files, one per task, written by Spark's text sink, which puts the end of
+a record after each row.
 
 Reading walks each file by the lengths in the headers, groups the segments of an origin, orders
 them by number, verifies the total length, decodes the transfer framing, and looks up what
@@ -21,8 +21,8 @@ the stated one raises an error.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import math
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -37,7 +37,6 @@ from riskloom.runtime import pin, scratch_path
 LEAST_SHARED = 100
 CHUNK = 2_048
 SEGMENT = 16_384
-FILE_BYTES = 8 << 20
 
 _END = b"\r\n\r\n"
 _DATE = "2020-01-01T00:00:00Z"
@@ -117,31 +116,25 @@ def _written(chunk: int, segment: int):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK, segment: int = SEGMENT, file_bytes: int = FILE_BYTES) -> None:
-    """Write ``pages`` (page_id, url, html) as archive files below ``path``."""
+def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK, segment: int = SEGMENT) -> None:
+    """Write ``pages`` (page_id, url, html) as archive files below ``path``.
+
+    Texts are shuffled once, to meet the decision on their row; files follow the partitions.
+    """
     plain = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"),
         F.monotonically_increasing_id().alias("row"),  # the place in the table, equal in every run over the same files
-    ).withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.length("payload").cast("bigint"))
-    keys = pin(plain.select("page_id", "row", "digest", "size"))
-    total = keys.agg(F.coalesce(F.sum(F.col("size") + 600), F.lit(0))).first()[0]
-    shared = keys.filter(F.col("size") >= LEAST_SHARED).groupBy("digest").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("page_id", "row")).alias("first")
-    ).filter("n > 1")
-    later = lookup(keys.filter(F.col("size") >= LEAST_SHARED), pin(shared), ["digest"], "n").filter(F.col("row") != F.col("first.row"))
-    referring = later.select(
-        "page_id", "row", "digest", F.lit("").cast("binary").alias("payload"), F.col("first.page_id").alias("first_page"),
-        F.col("first.row").alias("first_row"),
     )
-    none = F.lit(None).cast("bigint")
-    held = plain.select("page_id", "row", "digest", "payload", "url", none.alias("first_page"), none.alias("first_row")).join(
-        referring.select("row"), "row", "left_anti"
+    keys = pin(plain.select("page_id", "row", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("size")))
+    large = keys.filter(F.col("size") >= LEAST_SHARED)
+    shared = large.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page_id", "row")).alias("first")).filter("n > 1")
+    later = lookup(large, pin(shared), ["digest"], "n").filter(F.col("row") != F.col("first.row")).select(
+        "row", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row")
     )
-    urls = pages.select("url", F.monotonically_increasing_id().alias("row"))
-    records = held.unionByName(referring.join(urls, "row")).mapInArrow(_written(chunk, segment), "record binary")
-    files = max(1, math.ceil(total / file_bytes))
-    dealt = records.repartition(files, F.xxhash64("record"))
-    dealt.select(F.col("record").cast("string")).write.option("lineSep", _END.decode()).text(path)
+    decided = plain.join(keys.select("row", "digest").join(later, "row", "left"), "row")
+    empty = F.when(F.col("first_row").isNull(), F.col("payload")).otherwise(F.lit("").cast("binary"))
+    records = decided.withColumn("payload", empty).mapInArrow(_written(chunk, segment), "record binary")
+    records.select(F.col("record").cast("string")).write.option("lineSep", _END.decode()).option("compression", "gzip").text(path)
 
 
 def records_in(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -172,7 +165,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for fields, block in records_in(content.as_py()):
+            for fields, block in records_in(gzip.decompress(content.as_py())):
                 record = fields["warc-record-id"]
                 number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
                 rows.append((
