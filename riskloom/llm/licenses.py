@@ -18,6 +18,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.runtime import pin
+
 K = 3
 #: share of a notice's word runs that a span must hold, and its most words as a multiple of the notice's
 LEAST_SHARE, MOST_STRETCH = 0.6, 1.5
@@ -122,7 +124,7 @@ def license_report(docs: DataFrame) -> DataFrame:
     """Per document: base phrases by number and place, the labels of these and of all finds, and the best share."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = F.col("kind") == "base"
-    finds = spans(matches(texts)).groupBy(F.col("doc_id").alias("f_doc"), F.col("digest").alias("f_digest")).agg(
+    finds = spans(pin(matches(texts))).groupBy(F.col("doc_id").alias("f_doc"), F.col("digest").alias("f_digest")).agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("first"))).cast("bigint").alias("first_word"),
         F.max(F.when(base, F.col("first"))).cast("bigint").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
