@@ -239,9 +239,7 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
     shared = index.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     postings = pin(index.join(shared, "gram"))
     degree = postings.groupBy("cls").agg(F.sum(F.col("m") - 1).alias("degree"))
-    wanted = pin(degree.join(classes.select("cls", "first_doc", "parts"), "cls"))
-    postings = pin(postings.join(wanted.select("cls", "degree", "parts"), "cls"))
-    sets = _sets_of(texts, wanted, k)
+    postings = pin(postings.join(degree.join(classes.select("cls", "parts"), "cls"), "cls"))
 
     centre = postings.groupBy("gram").agg(
         F.max(F.struct("degree", "cls", "n", "pos", "parts")).alias("top"), F.count(F.lit(1)).alias("rows")
@@ -252,7 +250,7 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
     first = pin(beside.filter(F.col("x.cls") != F.col("y.cls")).filter(_may_link(percent)).select(
         F.col("y.cls").alias("a"), F.col("x.cls").alias("b")
     ).distinct())
-    found = pin(_verify(first, sets, percent))
+    found = pin(_verify(first, _sets_of(texts, classes, first, k), percent))
 
     labels = components(found).select(F.col("v").alias("cls"), "label")
     marked = pin(postings.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
@@ -263,13 +261,16 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
         F.col("x.cls").alias("a"), F.col("y.cls").alias("b")
     ).distinct()
     both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = pin(_verify(rest.join(both, ["a", "b"], "left_anti"), sets, percent))
+    rest = pin(rest.join(both, ["a", "b"], "left_anti"))
+    more = pin(_verify(rest, _sets_of(texts, classes, rest, k), percent))
     return found.unionByName(more)
 
 
-def _sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Whole sets of the wanted classes (cls, first_doc): a bit map of fixed size goes to all tasks,
-    which compute the sets of documents that may be wanted; a join keeps those that are."""
+def _sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """Whole sets of the classes in ``pairs``: a bit map of fixed size goes to all tasks, which
+    compute the sets of documents that may be wanted; a join keeps those that are."""
+    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    wanted = pin(named.join(classes.select("cls", "first_doc"), "cls"))
     pages = wanted.select("first_doc", "cls").mapInArrow(_map_bits, "page int, bits binary").groupBy("page").applyInArrow(
         _join_pages, "page int, bits binary"
     ).collect()  # 2**MAP_BITS bits at most
@@ -278,8 +279,7 @@ def _sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         packed[row["page"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     bits = np.unpackbits(packed.reshape(-1)).view(bool)
     found = texts.mapInArrow(_whole_sets(k, bits), "doc_id bigint, cls binary, members binary")
-    keys = wanted.select("cls", F.col("first_doc"))
-    exact = found.join(keys, (found["cls"] == keys["cls"]) & found["doc_id"].eqNullSafe(keys["first_doc"]), "left_semi")
+    exact = found.join(wanted, (found["cls"] == wanted["cls"]) & found["doc_id"].eqNullSafe(wanted["first_doc"]), "left_semi")
     return pin(exact.select("cls", "members").dropDuplicates(["cls"]))
 
 
