@@ -9,8 +9,9 @@ space); a shorter text is one run.  Two documents link when ``100 * |x & y| >= p
    documents (its size is fixed; ties by hash).  Each class is indexed under its prefix, the first
    ``n - ceil(percent * n / 100) + 1`` n-grams, without which no partner can have enough in common.
 3. Candidates share a prefix n-gram and pass filters on the lengths, on the positions of the shared
-   n-gram, and on the sizes of the parts into which a hash cuts both sets (the differences add
-   up to a lower bound of what the sets do not share: the suffix filter).
+   n-gram, on how many of their prefix n-grams are in no other prefix (those of the set whose prefix
+   ends earlier are not in its partner), and on the sizes of the parts into which a hash cuts both
+   sets (the differences add up to a lower bound of what the sets do not share: the suffix filter).
 4. Every class is first compared with the most connected class of each of its n-grams.  What this
    links needs no more comparisons with each other, so a large group of near copies costs one
    comparison per member; then all pairs are joined that are not yet in one component.  Each pair is
@@ -43,6 +44,8 @@ SLOT_BITS = 20
 BLOCKS = 256
 #: parts of a set whose sizes the suffix filter compares
 PARTS = 32
+#: pairs from an n-gram of more classes pass the suffix filter in the join, others after it
+SMALL_GROUP = 32
 #: bits of the map that tells which documents' sets are wanted; one bit set by chance costs only work
 MAP_BITS = 23
 
@@ -189,18 +192,35 @@ def _verified(percent: int):
     return run
 
 
+def _need(percent: int) -> Column:
+    """What sets of these sizes must share."""
+    return F.ceil(percent * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
+
+
 def _may_link(percent: int) -> Column:
-    """Length, positional and suffix filter between columns of x and y."""
-    n, m = F.col("x.n"), F.col("y.n")
-    need = F.ceil(percent * (n + m) / F.lit(100 + percent))  # what sets of these sizes must share
-    unshared = reduce(lambda a, b: a + b, [F.abs(F.col("x.parts")[i] - F.col("y.parts")[i]).cast("int") for i in range(PARTS)])
+    """Length and positional filter between x and y, and that by unshared prefix n-grams."""
+    n, m, need = F.col("x.n"), F.col("y.n"), _need(percent)
     return (
         (100 * F.least(n, m) >= percent * F.greatest(n, m))
         & (F.least(n - F.col("x.pos"), m - F.col("y.pos")) >= need)
-        & (unshared <= n + m - 2 * need)
+        & (F.greatest(n - F.col("x.alone"), m - F.col("y.alone")) >= need)
     )
 
 
+def _parts_agree(percent: int) -> Column:
+    """Suffix filter between x and y."""
+    unshared = reduce(lambda a, b: a + b, [F.abs(F.col("x.parts")[i] - F.col("y.parts")[i]).cast("int") for i in range(PARTS)])
+    return unshared <= F.col("x.n") + F.col("y.n") - 2 * _need(percent)
+
+
+def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the suffix filter."""
+    def side(key: str, name: str) -> DataFrame:
+        return classes.select(F.col("cls").alias(key), F.struct("n", "parts").alias(name))
+
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").filter(_parts_agree(percent)).select("a", "b")
+
+
 def near_groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, cls) and classes (cls, component_id, keep_cls, n_docs)."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -238,28 +258,33 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
     index = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = index.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     postings = pin(index.join(shared, "gram"))
-    degree = postings.groupBy("cls").agg(F.sum(F.col("m") - 1).alias("degree"))
-    postings = pin(postings.join(degree.join(classes.select("cls", "parts"), "cls"), "cls"))
+    degree = postings.groupBy("cls").agg(F.sum(F.col("m") - 1).alias("degree"), F.count(F.lit(1)).alias("shared"))
+    alone = (F.size("prefix") - F.col("shared")).cast("int").alias("alone")
+    postings = pin(postings.join(degree.join(classes.select("cls", "prefix"), "cls").select("cls", "degree", alone), "cls"))
 
     centre = postings.groupBy("gram").agg(
-        F.max(F.struct("degree", "cls", "n", "pos", "parts")).alias("top"), F.count(F.lit(1)).alias("rows")
+        F.max(F.struct("degree", "cls", "n", "pos", "alone")).alias("top"), F.count(F.lit(1)).alias("rows")
     )
     beside = lookup(postings, pin(centre), ["gram"], "rows").select(
-        F.struct("cls", "n", "pos", "parts").alias("x"), F.col("top").alias("y")
+        F.struct("cls", "n", "pos", "alone").alias("x"), F.col("top").alias("y")
     )
-    first = pin(beside.filter(F.col("x.cls") != F.col("y.cls")).filter(_may_link(percent)).select(
+    pairs = beside.filter(F.col("x.cls") != F.col("y.cls")).filter(_may_link(percent)).select(
         F.col("y.cls").alias("a"), F.col("x.cls").alias("b")
-    ).distinct())
+    ).distinct()
+    first = pin(_filtered(pairs, classes, percent))
     found = pin(_verify(first, _sets_of(texts, classes, first, k), percent))
 
     labels = components(found).select(F.col("v").alias("cls"), "label")
     marked = pin(postings.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
     open_grams = marked.groupBy("gram").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("gram")
-    left = pin(marked.join(open_grams, "gram", "left_semi").select("gram", "cls", "label", "n", "pos", "parts"))
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")) & _may_link(percent)).select(
-        F.col("x.cls").alias("a"), F.col("y.cls").alias("b")
-    ).distinct()
+    left = pin(marked.join(open_grams, "gram", "left_semi").select("gram", "m", "cls", "label", "n", "pos", "alone"))
+    apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")) & _may_link(percent)
+    ends = [F.col("x.cls").alias("a"), F.col("y.cls").alias("b")]
+    small = left.filter(F.col("m") <= SMALL_GROUP)
+    few = _filtered(small.alias("x").join(small.alias("y"), apart).select(*ends).distinct(), classes, percent)
+    large = left.filter(F.col("m") > SMALL_GROUP).join(classes.select("cls", "parts"), "cls")
+    many = large.alias("x").join(large.alias("y"), apart & _parts_agree(percent)).select(*ends)
+    rest = few.unionByName(many).distinct()
     both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = pin(rest.join(both, ["a", "b"], "left_anti"))
     more = pin(_verify(rest, _sets_of(texts, classes, rest, k), percent))

@@ -5,7 +5,7 @@ their own; what remains of each document is packed with others: documents are de
 groups of bounded size by a hash, and within a group the remainders go, longest first, to the
 sequence of lowest cost that has room, where a piece costs ``linear * n + quadratic * n**2``.
 A group has just enough sequences for its tokens; a remainder that fits nowhere is cut into the
-sequence with most room.  So at most one sequence per group is not full.
+sequence with most room.  So all sequences of a group together lack fewer than ``capacity`` tokens.
 
 Encoding uses the tiktoken form of the vocabulary, whose ids equal those of the tokenizers file
 (the tests compare them); a text it refuses is encoded by the tokenizers library.

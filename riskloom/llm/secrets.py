@@ -128,7 +128,7 @@ def linked(found: DataFrame, keys: list[str], reach: int = REACH) -> DataFrame:
     """
     parts = found.filter(F.size("__weak") > 0).distinct().select(*keys, "__breaks", F.explode(
         F.concat("__weak", F.filter("__base", lambda s: s["kind"] != "hex"))
-    ).alias("part")).select(*keys, "part.*", F.size(F.filter("__breaks", lambda b: b < F.col("part.start"))).alias("scope"))
+    ).alias("part")).select(*keys, "part.*", F.size(F.filter("__breaks", lambda b: b <= F.col("part.start"))).alias("scope"))
     role = (
         F.when(F.col("kind").isin("part_id", "access"), "id").when(F.col("kind") == "part_endpoint", "endpoint").otherwise("secret")
     )

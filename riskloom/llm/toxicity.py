@@ -11,7 +11,7 @@ their id) are read, whatever the table's size.  Features in fewer than ``least_d
 with |r| below ``least_ratio``, weigh nothing.  All documents are scored, whole.
 
 Defined results: null and empty texts have no features and score sigmoid(bias); labels that are
-null are no labels, repeated ones count as toxic if any says so; without rows of both classes every
+null are no labels, repeated ones count as toxic if any says so; without rows of both classes, or without a telling feature, every
 text scores the share of toxic rows (0 without labels); rows that repeat an id are scored
 one by one; other columns are ignored; an empty table gives an empty result.
 """
@@ -143,6 +143,8 @@ def fit(
     p, q = toxic + smoothing, clean + smoothing
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     kept = np.flatnonzero((toxic + clean >= least_docs) & (np.abs(ratio) >= least_ratio))
+    if not len(kept):
+        return Model(np.zeros(size, np.float32), 0.0, n_toxic / (n_clean + n_toxic), grams, bits)
     place = np.full(size, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
 

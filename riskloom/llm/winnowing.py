@@ -158,7 +158,7 @@ def edited_report(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
         keyed.withColumn("place", F.col("doc_id").cast("double"))
     ).drop("place")
     first = ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "digest")).alias("first"))
-    heads = sorted((r["range"], r["first"]["doc_id"], r["first"]["digest"]) for r in first.collect())  # one row per range
+    heads = [(r["range"], r["first"]["doc_id"], r["first"]["digest"]) for r in sorted(first.collect(), key=lambda r: r["range"])]
     before = [(heads[i - 1][0], doc, digest) for i, (_, doc, digest) in enumerate(heads)]
     hosts = spark.createDataFrame(before, "host double, h_doc bigint, h_digest string")
     guests = ranged.join(
