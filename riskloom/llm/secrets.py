@@ -159,9 +159,11 @@ def _with_spans(docs: DataFrame, text: str, reach: int, carry: list[str]) -> Dat
     ends = _placed(F.coalesce(F.col(text), F.lit("")), SCOPE_END, _found(F.coalesce(F.col(text), F.lit("")), SCOPE_END))
     links = linked(keyed.filter(F.size("__weak") > 0).select(
         "__key", "__base", "__weak", F.transform(ends, lambda s: s["stop"]).alias("__breaks")
-    ), ["__key"], reach).withColumnRenamed("__key", "__of")
+    ), ["__key"], reach)
     plain = keyed.select(*carry, "__base", "__key")
-    some = plain.filter(F.col("__key").isNotNull()).join(links, F.col("__key") == F.col("__of"), "left").drop("__of")
+    some = plain.filter(F.col("__key").isNotNull()).alias("p").join(
+        links.alias("l"), F.col("p.__key") == F.col("l.__key"), "left"
+    ).select("p.*", "l.__linked")
     none = plain.filter(F.col("__key").isNull()).withColumn("__linked", F.lit(None).cast(_SPANS))
     return some.unionByName(none).drop("__key").withColumn(
         "__all", _ordered(F.concat("__base", F.coalesce("__linked", F.array().cast(_SPANS))))

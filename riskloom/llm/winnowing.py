@@ -156,7 +156,7 @@ def edited_report(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     splits = [-math.inf, *sorted(set(cuts or [0.0])), math.inf]
     ranged = Bucketizer(splits=splits, inputCol="place", outputCol="range", handleInvalid="keep").transform(
         keyed.withColumn("place", F.col("doc_id").cast("double"))
-    ).drop("place")
+    ).drop("place").withColumn("range", F.coalesce("range", F.lit(float(len(splits)))))  # null ids have a range of their own
     first = ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "digest")).alias("first"))
     heads = [(r["range"], r["first"]["doc_id"], r["first"]["digest"]) for r in sorted(first.collect(), key=lambda r: r["range"])]
     before = [(heads[i - 1][0], doc, digest) for i, (_, doc, digest) in enumerate(heads)]
