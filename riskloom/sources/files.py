@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import vocab as v
-from riskloom.operators.cleaning import standardize_columns
+from riskloom.operators.cleaning import coerce_numbers, standardize_columns
 
 log = logging.getLogger(__name__)
 
@@ -30,24 +31,47 @@ def header_row(lines: Sequence[str]) -> int:
     return 0 if lines and v.KEY in [n.upper() for n in _names(lines[0])] else 1
 
 
-def read_client_csv(spark: SparkSession, path: str) -> DataFrame:
+def _client_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines of a client CSV as text columns under the standard names."""
+    lines = [r.value for r in spark.read.text(path).limit(2).collect()]
+    names = _names(lines[min(header_row(lines), len(lines) - 1)])
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path).toDF(*names)
+    return standardize_columns(rows, require_target=False)
+
+
+def _key() -> Column:
+    """The key as a whole number, NULL where it is none."""
+    text = F.col(f"`{v.KEY}`")
+    number = text.try_cast("double")
+    return F.coalesce(text.try_cast("bigint"), F.when(number == F.floor(number), number).try_cast("bigint"))
+
+
+def _readable(column: str) -> Column:
+    number = F.col(f"`{column}`").try_cast("double")
+    return number.isNotNull() & ~F.isnan(number)
+
+
+def read_client_csv(spark: SparkSession, path: str, on_fraction: str = "error") -> DataFrame:
     """Client table from CSV with the header in the first or second line.
 
     Only the first two lines are peeked at.  Columns are read as text under the found names
     and cast on the way, so a banner or header line inside the data carries no readable key
-    and is dropped, in whichever file part it occurs.
+    and is dropped, in whichever file part it occurs.  Other lines without a key are those of
+    ``client_lines_without_key``.  The text NaN is NULL; a fraction in a whole column is an
+    error, or NULL.
     """
-    lines = [r.value for r in spark.read.text(path).limit(2).collect()]
-    names = _names(lines[min(header_row(lines), len(lines) - 1)])
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path).toDF(*names)
-    rows = standardize_columns(rows, require_target=False)
-    kinds = {f.name: f.dataType.simpleString() for f in v.CLIENT_SCHEMA}
-    number = lambda c: F.trim(F.col(f"`{c}`")).try_cast("double")
-    columns = [
-        (number(c).try_cast(kinds[c]) if c in kinds else F.col(f"`{c}`")).alias(c) for c in rows.columns
-    ]
-    return rows.select(*columns).where(F.col(v.KEY).isNotNull())
+    rows = _client_lines(spark, path)
+    kinds = {f.name: f.dataType.simpleString() for f in v.CLIENT_SCHEMA if f.name in rows.columns and f.name != v.KEY}
+    whole = [c for c, kind in kinds.items() if kind == "int"]
+    return coerce_numbers(rows.where(_key().isNotNull()).withColumn(v.KEY, _key()), list(kinds), whole, on_fraction)
+
+
+def client_lines_without_key(spark: SparkSession, path: str) -> DataFrame:
+    """Lines, as text, that hold client numbers but no readable key: ``read_client_csv`` leaves them out."""
+    rows = _client_lines(spark, path)
+    numbers = [_readable(f.name) for f in v.CLIENT_SCHEMA if f.name in rows.columns and f.name != v.KEY]
+    return rows.where(_key().isNull() & reduce(lambda a, b: a | b, numbers))
 
 
 def read_clients(spark: SparkSession, raw: str | None = None, processed: str | None = None) -> DataFrame:
