@@ -128,26 +128,28 @@ def suppress_repeats(
 def limit_rate(
     alerts: DataFrame, ts: str = "ts", order: str = "alert_id", per_hour: int = PER_HOUR, per_day: int = PER_DAY
 ) -> DataFrame:
-    """The first ``per_hour`` alerts of each hour, and of those the first ``per_day`` of each day.
+    """The first ``per_hour`` alerts of each hour, and of those the first ``per_day`` of each day (both in UTC).
 
     A filter on the row number lets Spark drop the surplus of an hour before the shuffle.
     """
-    def first(df: DataFrame, unit: str, n: int) -> DataFrame:
+    def first(df: DataFrame, seconds: int, n: int) -> DataFrame:
         in_turn = Window.partitionBy("_unit").orderBy(ts, order)
         return (
-            df.withColumn("_unit", F.date_trunc(unit, ts))
+            df.withColumn("_unit", _slot(ts, seconds))
             .withColumn("_turn", F.row_number().over(in_turn)).where(F.col("_turn") <= n).drop("_unit", "_turn")
         )
 
-    return first(first(alerts, "hour", per_hour), "day", per_day)
+    return first(first(alerts, 3_600, per_hour), 86_400, per_day)
 
 
 def quiet_filter(
     alerts: DataFrame, ts: str = "ts", start: int = QUIET_FROM, end: int = QUIET_UNTIL, zone: str = QUIET_ZONE,
     allowed: Sequence[str] = ("critical",),
 ) -> DataFrame:
-    """Drop alerts in the quiet hours of a time zone, save for the allowed severities.  ``ts`` is in UTC."""
-    hour = F.hour(F.from_utc_timestamp(ts, zone))
+    """Drop alerts in the quiet hours of a time zone, save for the allowed severities, in any session time zone."""
+    seconds = F.unix_seconds(F.col(ts).cast("timestamp")).cast("decimal(18,6)")
+    utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    hour = F.hour(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc))
     quiet = (hour >= start) | (hour < end) if start > end else (hour >= start) & (hour < end)
     return alerts.where(~quiet | F.col("severity").isin(list(allowed)))
 

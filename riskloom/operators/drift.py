@@ -309,8 +309,14 @@ def service_check(
     ).where(F.col("_sized").isNull()).drop("_sized")
 
 
-def equal_width_psi(reference: DataFrame, production: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """The documented form: each side binned over its own range, no epsilon.  Kept apart from ``psi``."""
+def equal_width_psi(
+    reference: DataFrame, production: DataFrame, column: str, bins: int = 10, eps: float | None = None
+) -> DataFrame:
+    """The documented form: each side binned over its own range, no epsilon.  Kept apart from ``psi``.
+
+    A bin that is empty on one side only makes the index infinite, as the formula says, or
+    counts with the share ``eps`` if that is given; a bin empty on both sides adds nothing.
+    """
     sides = [
         histograms(t, [column], bins).select("bin", F.col("n").alias(name))
         for t, name in ((reference, "expected"), (production, "actual"))
@@ -318,7 +324,10 @@ def equal_width_psi(reference: DataFrame, production: DataFrame, column: str, bi
     counts = sides[0].join(sides[1], "bin")
     totals = counts.agg(F.sum("expected").alias("_e"), F.sum("actual").alias("_a"))
     e, a = F.col("expected") / F.col("_e"), F.col("actual") / F.col("_a")
-    return counts.crossJoin(F.broadcast(totals)).agg(F.sum((e - a) * F.log(e / a)).alias("psi"))
+    if eps is not None:
+        e, a = F.greatest(e, F.lit(float(eps))), F.greatest(a, F.lit(float(eps)))
+    term = F.when((e > 0) & (a > 0), (e - a) * (F.log(e) - F.log(a))).when(e != a, F.lit(float("inf"))).otherwise(0.0)
+    return counts.crossJoin(F.broadcast(totals)).agg(F.sum(term).alias("psi"))
 
 
 # fixed values: proxy limits (share above 0.5, mean score, share below 0.2)

@@ -18,13 +18,15 @@ def group_fairness(
 ) -> DataFrame:
     """Rows (by, group, n, base_rate, selection_rate, precision, recall, fpr, fnr).
 
-    Rates are 0 where undefined, and ``fnr`` is 1 - recall throughout.
+    Rows without a score or label are left out.  Rates are 0 where undefined, and ``fnr`` is
+    1 - recall throughout.
     """
     called, bad = F.col(score) >= threshold, F.col(label) == 1
     tp, fp = F.count_if(called & bad), F.count_if(called & ~bad)
     positives, negatives, n = F.count_if(bad), F.count_if(~bad), F.count(F.lit(1))
     recall = ratio(tp, positives)
-    return df.where(F.col(group).isNotNull()).groupBy(*by, F.col(group).cast("string").alias("group")).agg(
+    usable = F.col(group).isNotNull() & F.col(score).isNotNull() & F.col(label).isNotNull()
+    return df.where(usable).groupBy(*by, F.col(group).cast("string").alias("group")).agg(
         n.alias("n"), ratio(positives, n).alias("base_rate"), ratio(tp + fp, n).alias("selection_rate"),
         ratio(tp, tp + fp).alias("precision"), recall.alias("recall"), ratio(fp, negatives).alias("fpr"),
         (1 - recall).alias("fnr"),

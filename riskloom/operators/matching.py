@@ -26,9 +26,15 @@ def match_counts(predictions: DataFrame, actuals: DataFrame, key: str = "ID") ->
     )
 
 
+def single_row(df: DataFrame) -> DataFrame:
+    """The one row of ``df``; an error when it is read if there are more or none."""
+    one = F.assert_true(F.count(F.lit(1)) == 1, "a table of one row is needed").alias("_one")
+    return df.agg(*[F.first(c).alias(c) for c in df.columns], one).where(F.col("_one").isNull()).drop("_one")
+
+
 def with_parameters(df: DataFrame, parameters: DataFrame) -> DataFrame:
     """Put the single row of a parameter table on every row."""
-    return df.crossJoin(F.broadcast(parameters.agg(*[F.first(c).alias(c) for c in parameters.columns])))
+    return df.crossJoin(F.broadcast(single_row(parameters)))
 
 
 def with_share(counts: DataFrame, count: str = "n", by: Sequence[str] = (), name: str = "share") -> DataFrame:

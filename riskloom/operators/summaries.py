@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import vocab as v
 from riskloom.functions.decisions import ratio
-from riskloom.operators.matching import with_share
+from riskloom.operators.matching import single_row, with_share
 from riskloom.operators.ordered import join_groups, long_form, median
 
 
@@ -54,7 +52,7 @@ def review_workload(
     """Hours and cost of manual review, and what is left of the savings."""
     reviewed = bands.where(F.col("band") == "REVISION").agg(F.coalesce(F.sum("clients"), F.lit(0)).alias("reviews"))
     hours = F.col("reviews") * F.lit(minutes) / 60.0
-    both = reviewed.crossJoin(F.broadcast(savings.agg(F.first("expected_savings").alias("expected_savings"))))  # one row each
+    both = reviewed.crossJoin(F.broadcast(single_row(savings.select("expected_savings"))))  # one row each
     return both.withColumns({"review_hours": hours, "review_cost": hours * hourly_cost}).withColumn(
         "net_savings", F.col("expected_savings") - F.col("review_cost")
     )
@@ -127,25 +125,22 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFra
     )
 
 
-def correlations(df: DataFrame, columns: Sequence[str], pairwise: bool = False) -> DataFrame:
-    """Rows (left, right, r) of the Pearson matrix.
+def correlations(df: DataFrame, columns: Sequence[str], pairwise: bool = True) -> DataFrame:
+    """Rows (left, right, r) of the Pearson matrix, from one aggregate.
 
-    Without gaps in the data the Gram matrix of the assembled vectors is cheapest.  With
-    ``pairwise`` each pair uses the rows where both are present.
+    Each pair uses the rows where both are present; without ``pairwise`` a row with any gap
+    is left out of all pairs.
     """
     names = list(columns)
-    if pairwise:
-        cells = [
-            F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"),
-                     F.col(a).cast("double").alias("_x"), F.col(b).cast("double").alias("_y"))
-            for a in names for b in names
-        ]
-        return df.select(F.inline(F.array(*cells))).groupBy("left", "right").agg(F.corr("_x", "_y").alias("r"))
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    vectors = VectorAssembler(inputCols=names, outputCol="_v", handleInvalid="error").transform(numbers)
-    matrix = Correlation.corr(vectors.select("_v"), "_v").first()[0].toArray()
-    rows = [(a, b, float(matrix[i][j])) for i, a in enumerate(names) for j, b in enumerate(names)]
-    return df.sparkSession.createDataFrame(rows, "left string, right string, r double")
+    if not pairwise:
+        numbers = numbers.na.drop(subset=names)
+    half = {(i, j): F.corr(names[i], names[j]).alias(f"_{i}_{j}") for i in range(len(names)) for j in range(i, len(names))}
+    cells = [
+        F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"_{min(i, j)}_{max(i, j)}").alias("r"))
+        for i, a in enumerate(names) for j, b in enumerate(names)
+    ]
+    return numbers.agg(*half.values()).select(F.inline(F.array(*cells)))
 
 
 def target_correlations(df: DataFrame, columns: Sequence[str], target: str = v.TARGET) -> DataFrame:

@@ -125,3 +125,17 @@ def test_stream_windows_equal_batch_over_many_files(spark, tmp_path):
     batch = df.groupBy(F.window("ts", "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", "n")
     expected = {(r[0], r[2]) for r in batch.collect() if r[1] <= closed}
     assert {(r["window_start"], r["n"]) for r in out.collect()} == expected
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/Mexico_City", "Asia/Kolkata"])
+def test_hours_do_not_follow_the_session_zone(spark, zone):
+    seconds = [(0, 1_704_135_600), (1, 1_704_169_800), (2, 1_704_171_000)]  # 13:00, 22:30 and 22:50 in Mexico City
+    df = spark.createDataFrame(seconds, "alert_id bigint, s bigint").selectExpr(
+        "alert_id", "timestamp_seconds(s) AS ts", "'k' AS key", "'error' AS severity")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert ids(alerting.quiet_filter(df)) == {0}
+        assert ids(alerting.limit_rate(df, per_hour=1)) == {0, 1}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -125,3 +125,13 @@ def test_grouped_indices_equal_one_index_per_group(scored):
     for g in ("a", "b"):
         one = drift.psi(reference, scored.where(F.col("grp") == g)).first()
         assert rows[g]["psi"] == pytest.approx(one["psi"], rel=1e-9) and rows[g]["n_actual"] == one["n_actual"]
+
+
+def test_equal_width_index_with_empty_bins(spark):
+    at = lambda values: spark.createDataFrame([(float(x),) for x in values], ["x"])
+    full, gaps = at(range(10)), at([0, 0, 9, 9])
+    assert drift.equal_width_psi(full, full, "x").first()["psi"] == pytest.approx(0)
+    assert drift.equal_width_psi(gaps, gaps, "x").first()["psi"] == pytest.approx(0)
+    for pair in ((full, gaps), (gaps, full)):
+        assert drift.equal_width_psi(*pair, "x").first()["psi"] == float("inf")
+        assert 0 < drift.equal_width_psi(*pair, "x", eps=1e-4).first()["psi"] < 20

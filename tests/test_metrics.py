@@ -159,3 +159,18 @@ def test_absent_band_is_zero(spark):
 def test_many_values_is_decided_exactly(spark):
     df = spark.range(2000).select((F.col("id") % 10).alias("ten"), (F.col("id") % 11).alias("eleven"), "id")
     assert [ranking.has_many_values(df, c, 10) for c in ("ten", "eleven", "id")] == [False, True, True]
+
+
+def test_fairness_leaves_out_rows_without_score_or_label(spark):
+    df = spark.createDataFrame(
+        [("a", 0.9, 1), ("a", 0.1, 0), ("a", None, 1), ("a", 0.9, None)], "g string, score double, default_flag int")
+    row = fairness.group_fairness(df, "g", 0.5).first()
+    assert (row["n"], row["selection_rate"], row["recall"]) == (2, 0.5, 1.0)
+
+
+def test_correlations_with_gaps(spark):
+    rows = [(1.0, 2.0, 1.0), (2.0, 4.0, None), (3.0, 7.0, 2.0), (4.0, None, 5.0), (5.0, 9.0, 4.0)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    for pairwise, frame in ((True, df.toPandas()), (False, df.na.drop().toPandas())):
+        got = {(r["left"], r["right"]): r["r"] for r in summaries.correlations(df, "xyz", pairwise).collect()}
+        assert got == {(a, b): pytest.approx(r) for a, rest in frame.corr().to_dict().items() for b, r in rest.items()}

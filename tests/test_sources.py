@@ -93,3 +93,22 @@ def test_conversion_reports_absent_tables(spark, tmp_path):
     rows = files.parquet_to_csv(spark, {"a": f"{tmp_path}/a", "b": f"{tmp_path}/b"}, f"{tmp_path}/csv").collect()
     assert [tuple(r) for r in rows] == [("a", "converted", 2, 2), ("b", "missing", None, None)]
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv/a").where("v = '[1.0,2.0]'").count() == 1
+
+
+def test_client_lines_that_cannot_be_read(spark, tmp_path):
+    lines = ["X1,X2,X3,X4,X5,Y", HEADER, "1,NaN,2,24,2,1", ",120000,2,26,-1,0", "3000000000,5000,1,30.7,0,0"]
+    (tmp_path / "clients.csv").write_text("\n".join(lines))
+    path = str(tmp_path / "clients.csv")
+    rows = {r["ID"]: r for r in files.read_client_csv(spark, path, on_fraction="null").collect()}
+    assert set(rows) == {1, 3_000_000_000} and rows[1]["LIMIT_BAL"] is None and rows[3_000_000_000]["AGE"] is None
+    assert [r["LIMIT_BAL"] for r in files.client_lines_without_key(spark, path).collect()] == ["120000"]
+    with pytest.raises(PySparkException, match="AGE holds a fraction"):
+        files.read_client_csv(spark, path).collect()
+
+
+def test_parameters_are_one_row(spark):
+    df, two = spark.range(3), spark.createDataFrame([(0.1,), (0.2,)], ["cut"])
+    assert matching.with_parameters(df, two.limit(1)).count() == 3
+    for wrong in (two, two.where("false")):
+        with pytest.raises(PySparkException, match="one row"):
+            matching.with_parameters(df, wrong).collect()
