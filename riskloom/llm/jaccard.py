@@ -5,7 +5,7 @@ space); a shorter text is one run.  Two documents link when ``100 * |x & y| >= p
 
 1. Documents with equal sets form a class, known by a 128-bit digest; from here on one document
    stands for its class, so copies cost nothing.
-2. All n-grams get one order, rarest first: by their count in a table of 2**20 slots summed over all
+2. All n-grams get one order, rarest first: by their count in a table of 2**24 slots summed over all
    documents (its size is fixed; ties by hash).  Each class is indexed under its prefix, the first
    ``n - ceil(percent * n / 100) + 1`` n-grams, without which no partner can have enough in common.
 3. Candidates share a prefix n-gram and pass filters on the lengths, on the positions of the shared
@@ -25,6 +25,7 @@ are; a null id never names a component unless all its ids are null; other column
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,7 +41,7 @@ from riskloom.runtime import pin
 
 K = 3
 PERCENT = 90
-SLOT_BITS = 20
+SLOT_BITS = 24
 BLOCKS = 256
 #: parts of a set whose sizes the suffix filter compares
 PARTS = 32
@@ -56,12 +57,14 @@ def _sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     raw = words.lower_ascii(raw)
     starts, ends, owner = words.word_bounds(raw, offsets, words.PLAIN)
     grams, of = words.shingles(words.word_hashes(raw, starts, ends), owner, k)
-    order = np.lexsort((grams, of))
+    order = np.argsort(of, kind="stable")  # texts of one run stand at the end
     grams, of = grams[order], of[order]
+    ends = np.searchsorted(of, np.arange(part.num_rows + 1))
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        grams[a:b].sort()
     new = np.ones(len(grams), dtype=bool)
     new[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
-    grams, of = grams[new], of[new]
-    return grams, np.searchsorted(of, np.arange(part.num_rows + 1))
+    return grams[new], np.r_[0, np.cumsum(new)][ends]
 
 
 def _digests(grams: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
@@ -79,21 +82,21 @@ def _slots(grams: np.ndarray) -> np.ndarray:
 
 def _signed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
         for batch in batches:
             for part in words.slices(batch, "text"):
                 grams, ends = _sets(part, k)
-                counts += np.bincount(_slots(grams), minlength=1 << SLOT_BITS)
+                np.add.at(counts, _slots(grams), np.int32(1))
                 rows = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(_digests(grams, ends), pa.binary()),
                      pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "n", "cls", "block", "counts"],
                 )
         if counts.any():
-            blocks = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(BLOCKS, -1)
+            blocks = [zlib.compress(b.tobytes(), 1) for b in counts.reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()),
-                 pa.array(range(BLOCKS), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())],
+                 pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())],
                 names=["doc_id", "n", "cls", "block", "counts"],
             )
 
@@ -105,7 +108,7 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block, total = 0, np.zeros(1)
     for batch in batches:
         for b, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            block, total = b, total + np.frombuffer(counts, dtype=np.int32)
+            block, total = b, total + np.frombuffer(zlib.decompress(counts), dtype=np.int32)
     level = np.minimum(255, np.round(6 * np.log2(1 + total))).astype(np.uint8)
     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
 
@@ -117,10 +120,10 @@ def _prefixes(k: int, percent: int, levels: np.ndarray):
                 grams, ends = _sets(part, k)
                 sizes = np.diff(ends)
                 of = np.repeat(np.arange(part.num_rows), sizes)
-                order = np.lexsort((grams, levels[_slots(grams)], of))
+                level = levels[_slots(grams)]
                 keep = np.where(sizes > 0, sizes - (-(-sizes * percent // 100)) + 1, 0)
-                rank = np.arange(len(grams)) - np.repeat(ends[:-1], sizes)
-                first = grams[order][rank < np.repeat(keep, sizes)].view(np.int64)
+                rarest = [a + np.argsort(level[a:b], kind="stable")[:m] for a, b, m in zip(ends[:-1], ends[1:], keep, strict=True)]
+                first = grams[np.concatenate(rarest)].view(np.int64)
                 cut = ((grams >> np.uint64(7)) % np.uint64(PARTS)).astype(np.int64) + of * PARTS
                 parts = np.minimum(np.bincount(cut, minlength=part.num_rows * PARTS), 32_767).astype(np.int16)
                 some = pa.array(sizes > 0)
@@ -138,12 +141,13 @@ def _whole_sets(k: int, wanted: np.ndarray):
     """Whole sets of the documents whose bit is set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            some = batch.filter(pa.array(wanted[_bits(batch.column("doc_id"))]))
+            for part in words.slices(some, "text"):
                 grams, ends = _sets(part, k)
                 rows = [
                     (doc, cls, grams[ends[i]: ends[i + 1]].tobytes())
                     for i, (doc, cls) in enumerate(zip(part.column("doc_id").to_pylist(), _digests(grams, ends), strict=True))
-                    if cls is not None and wanted[_bit(doc, cls)]
+                    if cls is not None
                 ]
                 if rows:
                     docs, classes, members = zip(*rows, strict=True)
@@ -155,16 +159,16 @@ def _whole_sets(k: int, wanted: np.ndarray):
     return run
 
 
-def _bit(doc: int | None, cls: bytes) -> int:
-    low, high = np.frombuffer(cls, dtype=np.uint64)
-    return (int(low) ^ ((doc or 0) * 0x9E3779B97F4A7C15 + int(high))) % (1 << MAP_BITS)
+def _bits(docs: pa.Array) -> np.ndarray:
+    """Bits of the ids; null shares that of 0."""
+    ids = docs.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+    return (words.mix(ids) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
 def _map_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(1 << MAP_BITS, dtype=bool)
     for batch in batches:
-        for doc, cls in zip(batch.column("first_doc").to_pylist(), batch.column("cls").to_pylist(), strict=True):
-            bits[_bit(doc, cls)] = True
+        bits[_bits(batch.column("first_doc"))] = True
     at = np.flatnonzero(bits.reshape(1 << (MAP_BITS - 16), -1).any(axis=1))
     packed = np.packbits(bits).reshape(1 << (MAP_BITS - 16), -1)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([packed[i].tobytes() for i in at], pa.binary())], names=["page", "bits"])
@@ -228,7 +232,7 @@ def near_groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[Da
     rows = signed.filter("block IS NULL").select("doc_id", "n", "cls")
     blocks = signed.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(
         _levels, "block int, level binary"
-    ).collect()  # 2**20 bytes, whatever the input
+    ).collect()  # 2**24 bytes, whatever the input
     levels = np.zeros((BLOCKS, (1 << SLOT_BITS) // BLOCKS), dtype=np.uint8)
     for row in blocks:
         levels[row["block"]] = np.frombuffer(row["level"], dtype=np.uint8)
@@ -239,7 +243,7 @@ def near_groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[Da
     classes = pin(shaped.groupBy("cls").agg(  # equal sets have equal prefixes and parts
         F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), F.any_value("n").alias("n"),
         F.any_value("prefix").alias("prefix"), F.any_value("parts").alias("parts"),
-    ))
+    ).withColumn("indexed", F.size("prefix")))
     links = _links(texts, classes, k, percent)
     labels = components(links).select(F.col("v").alias("cls"), "label")
     named = pin(classes.select("cls", "first_doc", "n_docs").join(labels, "cls", "left"))
@@ -259,8 +263,8 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
     shared = index.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     postings = pin(index.join(shared, "gram"))
     degree = postings.groupBy("cls").agg(F.sum(F.col("m") - 1).alias("degree"), F.count(F.lit(1)).alias("shared"))
-    alone = (F.size("prefix") - F.col("shared")).cast("int").alias("alone")
-    postings = pin(postings.join(degree.join(classes.select("cls", "prefix"), "cls").select("cls", "degree", alone), "cls"))
+    alone = (F.col("indexed") - F.col("shared")).cast("int").alias("alone")
+    postings = pin(postings.join(degree.join(classes.select("cls", "indexed"), "cls").select("cls", "degree", alone), "cls"))
 
     centre = postings.groupBy("gram").agg(
         F.max(F.struct("degree", "cls", "n", "pos", "alone")).alias("top"), F.count(F.lit(1)).alias("rows")
@@ -296,7 +300,7 @@ def _sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) ->
     compute the sets of documents that may be wanted; a join keeps those that are."""
     named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = pin(named.join(classes.select("cls", "first_doc"), "cls"))
-    pages = wanted.select("first_doc", "cls").mapInArrow(_map_bits, "page int, bits binary").groupBy("page").applyInArrow(
+    pages = wanted.select("first_doc").mapInArrow(_map_bits, "page int, bits binary").groupBy("page").applyInArrow(
         _join_pages, "page int, bits binary"
     ).collect()  # 2**MAP_BITS bits at most
     packed = np.zeros((1 << (MAP_BITS - 16), 1 << 13), dtype=np.uint8)
