@@ -31,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,8 @@ BLOCKS = 256
 PARTS = 32
 #: pairs from an n-gram of more classes pass the suffix filter in the join, others after it
 SMALL_GROUP = 32
+#: an n-gram whose slot was counted up to this level (about 2**20 times) is in a bounded group of rows
+COLD_LEVEL = 120
 #: bits of the map that tells which documents' sets are wanted; one bit set by chance costs only work
 MAP_BITS = 23
 
@@ -123,15 +125,18 @@ def _prefixes(k: int, percent: int, levels: np.ndarray):
                 level = levels[_slots(grams)]
                 keep = np.where(sizes > 0, sizes - (-(-sizes * percent // 100)) + 1, 0)
                 rarest = [a + np.argsort(level[a:b], kind="stable")[:m] for a, b, m in zip(ends[:-1], ends[1:], keep, strict=True)]
-                first = grams[np.concatenate(rarest)].view(np.int64)
+                rarest = np.concatenate(rarest)
+                first = grams[rarest].view(np.int64)
+                cold = np.bincount(of[rarest], weights=level[rarest] <= COLD_LEVEL, minlength=part.num_rows)
                 cut = ((grams >> np.uint64(7)) % np.uint64(PARTS)).astype(np.int64) + of * PARTS
                 parts = np.minimum(np.bincount(cut, minlength=part.num_rows * PARTS), 32_767).astype(np.int16)
                 some = pa.array(sizes > 0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(_digests(grams, ends), pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)], pa.int32()), pa.array(first)),
+                     pa.array(cold.astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * PARTS, pa.int32()), pa.array(parts))],
-                    names=["doc_id", "n", "cls", "prefix", "parts"],
+                    names=["doc_id", "n", "digest", "prefix", "cold", "parts"],
                 ).filter(some)
 
     return run
@@ -153,7 +158,7 @@ def _whole_sets(k: int, wanted: np.ndarray):
                     docs, classes, members = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(docs, pa.int64()), pa.array(classes, pa.binary()), pa.array(members, pa.binary())],
-                        names=["doc_id", "cls", "members"],
+                        names=["doc_id", "of", "members"],
                     )
 
     return run
@@ -238,15 +243,15 @@ def near_groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[Da
         levels[row["block"]] = np.frombuffer(row["level"], dtype=np.uint8)
 
     shaped = texts.mapInArrow(
-        _prefixes(k, percent, levels.reshape(-1)), "doc_id bigint, n int, cls binary, prefix array<bigint>, parts array<smallint>"
+        _prefixes(k, percent, levels.reshape(-1)), "doc_id bigint, n int, digest binary, prefix array<bigint>, cold int, parts array<smallint>"
     )
-    classes = pin(shaped.groupBy("cls").agg(  # equal sets have equal prefixes and parts
+    classes = pin(shaped.groupBy("digest").agg(  # equal sets have equal prefixes and parts
         F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), F.any_value("n").alias("n"),
-        F.any_value("prefix").alias("prefix"), F.any_value("parts").alias("parts"),
-    ).withColumn("indexed", F.size("prefix")))
+        F.any_value("prefix").alias("prefix"), F.any_value("cold").alias("cold"), F.any_value("parts").alias("parts"),
+    ).withColumns({"cls": F.monotonically_increasing_id(), "indexed": F.size("prefix")}))  # short names, fixed once written
     links = _links(texts, classes, k, percent)
     labels = components(links).select(F.col("v").alias("cls"), "label")
-    named = pin(classes.select("cls", "first_doc", "n_docs").join(labels, "cls", "left"))
+    named = pin(classes.select("cls", "digest", "first_doc", "n_docs").join(labels, "cls", "left").drop("cls").withColumnRenamed("digest", "cls"))
     last = F.lit(2**63 - 1)
     per_label = pin(named.filter("label IS NOT NULL").groupBy("label").agg(
         F.count(F.lit(1)).alias("n_classes"), F.min("first_doc").alias("component_id"),
@@ -259,9 +264,11 @@ def near_groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[Da
 
 def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified pairs (a, b) of classes that give the components of all links."""
-    index = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = index.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    postings = pin(index.join(shared, "gram"))
+    index = classes.select("cls", "n", "cold", F.posexplode("prefix").alias("pos", "gram"))
+    cold, hot = index.filter("pos < cold").drop("cold"), index.filter("pos >= cold").drop("cold")
+    counted = cold.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("m > 1")
+    shared = hot.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    postings = pin(counted.unionByName(hot.join(shared, "gram")))
     degree = postings.groupBy("cls").agg(F.sum(F.col("m") - 1).alias("degree"), F.count(F.lit(1)).alias("shared"))
     alone = (F.col("indexed") - F.col("shared")).cast("int").alias("alone")
     postings = pin(postings.join(degree.join(classes.select("cls", "indexed"), "cls").select("cls", "degree", alone), "cls"))
@@ -299,7 +306,7 @@ def _sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) ->
     """Whole sets of the classes in ``pairs``: a bit map of fixed size goes to all tasks, which
     compute the sets of documents that may be wanted; a join keeps those that are."""
     named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = pin(named.join(classes.select("cls", "first_doc"), "cls"))
+    wanted = pin(named.join(classes.select("cls", "digest", "first_doc"), "cls"))
     pages = wanted.select("first_doc").mapInArrow(_map_bits, "page int, bits binary").groupBy("page").applyInArrow(
         _join_pages, "page int, bits binary"
     ).collect()  # 2**MAP_BITS bits at most
@@ -307,8 +314,8 @@ def _sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) ->
     for row in pages:
         packed[row["page"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     bits = np.unpackbits(packed.reshape(-1)).view(bool)
-    found = texts.mapInArrow(_whole_sets(k, bits), "doc_id bigint, cls binary, members binary")
-    exact = found.join(wanted, (found["cls"] == wanted["cls"]) & found["doc_id"].eqNullSafe(wanted["first_doc"]), "left_semi")
+    found = texts.mapInArrow(_whole_sets(k, bits), "doc_id bigint, of binary, members binary")
+    exact = found.join(wanted, (found["of"] == wanted["digest"]) & found["doc_id"].eqNullSafe(wanted["first_doc"]))
     return pin(exact.select("cls", "members").dropDuplicates(["cls"]))
 
 
@@ -316,7 +323,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     y = sets.select(F.col("cls").alias("b"), F.col("members").alias("y_members"))
     x = sets.select(F.col("cls").alias("a"), F.col("members").alias("x_members"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x_members", "y_members").mapInArrow(_verified(percent), "a binary, b binary")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x_members", "y_members").mapInArrow(_verified(percent), "a bigint, b bigint")
 
 
 def near_report(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
