@@ -13,8 +13,6 @@ from riskloom.operators.calibration import edges_below
 from riskloom.runtime import scratch_path
 from riskloom.streaming import monitors
 
-SEEN = "(SELECT max(ts) FROM events)-INTERVAL 60 MINUTE"
-
 
 def event_stream(spark, folder):
     stream = monitors.read_table_stream(spark, f"{folder}/events.parque*")
@@ -35,7 +33,7 @@ FIRST_WEEK = "ts<TIMESTAMP '2024-01-08'"
 @query("stream_psi_per_day", f"""WITH e AS (SELECT {quantiles_sql('list_sort(list(value))', [i / 10 for i in range(1, 10)])} AS edges FROM events WHERE {FIRST_WEEK}),
     b AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, ts, CAST(len(list_filter(edges, lambda q: q<=value)) AS INT) AS bin FROM events, e),
     r AS (SELECT g.range AS bin, count(b.bin) AS ne FROM range(10) g LEFT JOIN (SELECT * FROM b WHERE {FIRST_WEEK}) b ON b.bin=g.range GROUP BY g.range),
-    w AS (SELECT DISTINCT window_start FROM b WHERE window_start+INTERVAL 1 DAY<={SEEN}),
+    w AS (SELECT DISTINCT window_start FROM b),
     c AS (SELECT w.window_start, r.bin, ne, (SELECT count(*) FROM b WHERE b.window_start=w.window_start AND b.bin=r.bin) AS na FROM w, r),
     s AS (SELECT window_start, (ne+0.0001e0)/sum(ne) OVER (PARTITION BY window_start) AS pe, (na+0.0001e0)/sum(na) OVER (PARTITION BY window_start) AS pa,
       ne, na FROM c),
@@ -48,7 +46,9 @@ def _(spark, folder):
         F.count(F.lit(1)).alias("_e"), F.lit(0).alias("_a")
     )
     reference_counts = drift.spread_over_bins(expected, [], 10)
-    counts = monitors.run_to_table(monitors.window_bin_counts(event_stream(spark, folder), edges, "value"))
+    counts = monitors.run_windows(
+        monitors.window_bin_counts(event_stream(spark, folder), edges, "value"), ["window_start", "window_end", "bin"]
+    )
     return rounded(plain_time(monitors.psi_per_window(counts, reference_counts)))
 
 
@@ -57,27 +57,27 @@ def _(spark, folder):
 @query("stream_proxies_per_day", f"""SELECT window_start, window_end, n, round(high_risk_share,6) AS high_risk_share, round(mean_score,6) AS mean_score,
     round(approval_share,6) AS approval_share, {PROXY_ALERTS} FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, date_trunc('day', ts)::TIMESTAMP+INTERVAL 1 DAY AS window_end,
     count(*) AS n, avg(CAST(value/100e0>0.5e0 AS INT)) AS high_risk_share, avg(value/100e0) AS mean_score, avg(CAST(value/100e0<0.2e0 AS INT)) AS approval_share
-    FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts)::TIMESTAMP+INTERVAL 1 DAY<={SEEN})""")
+    FROM events GROUP BY 1, 2)""")
 def _(spark, folder):
     stream = event_stream(spark, folder).withColumn("score", F.col("value") / 100.0)
-    rows = monitors.run_to_table(monitors.window_proxies(stream))
+    rows = monitors.run_windows(monitors.window_proxies(stream))
     return rounded(plain_time(joined_alerts(rows)))
 
 
-@query("stream_error_rates", f"""SELECT window_start, window_start+INTERVAL 15 MINUTE AS window_end, count(*) AS n, round(avg(CAST(event_type='error' AS INT)),6) AS error_rate,
+@query("stream_error_rates", """SELECT window_start, window_start+INTERVAL 15 MINUTE AS window_end, count(*) AS n, round(avg(CAST(event_type='error' AS INT)),6) AS error_rate,
     avg(CAST(event_type='error' AS INT))>0.05 AS alert FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01') AS window_start FROM events)
-    GROUP BY window_start HAVING window_start+INTERVAL 15 MINUTE<={SEEN}""")
+    GROUP BY window_start""")
 def _(spark, folder):
     rows = monitors.window_error_rates(event_stream(spark, folder), F.col("event_type") == "error")
-    return rounded(plain_time(monitors.run_to_table(rows)))
+    return rounded(plain_time(monitors.run_windows(rows)))
 
 
-@query("stream_error_rates_sliding", f"""SELECT window_start, window_start+INTERVAL 60 MINUTE AS window_end, count(*) AS n, round(avg(CAST(event_type='error' AS INT)),6) AS error_rate,
+@query("stream_error_rates_sliding", """SELECT window_start, window_start+INTERVAL 60 MINUTE AS window_end, count(*) AS n, round(avg(CAST(event_type='error' AS INT)),6) AS error_rate,
     avg(CAST(event_type='error' AS INT))>0.05 AS alert FROM (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01')-to_minutes(CAST(30*k.range AS INT)) AS window_start FROM events, range(2) k)
-    GROUP BY window_start HAVING window_start+INTERVAL 60 MINUTE<={SEEN}""")
+    GROUP BY window_start""")
 def _(spark, folder):
     rows = monitors.window_error_rates(event_stream(spark, folder), F.col("event_type") == "error", width="60 minutes", slide="30 minutes")
-    return rounded(plain_time(monitors.run_to_table(rows)))
+    return rounded(plain_time(monitors.run_windows(rows)))
 
 
 @query("stream_suppress_since_kept", f"""WITH RECURSIVE {ALERTS_SQL}, kept AS (
@@ -86,7 +86,7 @@ def _(spark, folder):
       WHERE EXISTS (SELECT 1 FROM al a WHERE a.key=k.key AND a.ts>=k.ts+INTERVAL 60 MINUTE))
     SELECT kept.key, min(alert_id) AS alert_id, kept.ts FROM kept JOIN al ON al.key=kept.key AND al.ts=kept.ts GROUP BY kept.key, kept.ts""")
 def _(spark, folder):
-    return plain_time(monitors.run_to_table(monitors.suppress_since_kept(alert_stream(spark, folder))))
+    return plain_time(monitors.run_suppression(monitors.suppress_since_kept(alert_stream(spark, folder))))
 
 
 @query("stream_drop_repeats")
@@ -97,18 +97,17 @@ def _(spark, folder):
 @query("stream_rate_limit", f"""WITH {ALERTS_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY key, date_trunc('hour', ts) ORDER BY ts, alert_id) AS r FROM al),
     d AS (SELECT *, row_number() OVER (PARTITION BY key, date_trunc('day', ts) ORDER BY ts, alert_id) AS s FROM h WHERE r<=1) SELECT key, alert_id, ts FROM d WHERE s<=2""")
 def _(spark, folder):
-    return plain_time(monitors.run_to_table(monitors.limit_rate(alert_stream(spark, folder), per_hour=1, per_day=2)))
+    rows = monitors.run_rate_limit(alert_stream(spark, folder), ["key"], per_hour=1, per_day=2)
+    return plain_time(rows.select("key", "alert_id", "ts"))
 
 
-@query("stream_escalations", """SELECT event_id AS alert_id, ts FROM events WHERE event_type='error' AND event_id%3<>0 AND ts<(SELECT max(ts) FROM events WHERE event_type='error')-INTERVAL 6 HOUR""")
+@query("stream_escalations", """SELECT event_id AS alert_id, ts FROM events WHERE event_type='error' AND event_id%3<>0""")
 def _(spark, folder):
     errors = event_stream(spark, folder).where("event_type = 'error'").select(F.col("event_id").alias("alert_id"), "ts")
     solved = event_stream(spark, folder).where("event_type = 'error' AND event_id % 3 = 0").select(
         F.col("event_id").alias("alert_id"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts")
     )
-    rows = monitors.run_to_table(monitors.escalations(errors, solved))
-    last = table(spark, folder, "events").where("event_type = 'error'").agg((F.max("ts") - F.expr("INTERVAL 6 HOURS")).alias("last"))
-    return plain_time(rows).crossJoin(F.broadcast(last)).where("ts < last").drop("last")  # rows whose time has surely passed
+    return plain_time(monitors.run_escalations(errors, solved))
 
 
 def client_stream(spark, folder):

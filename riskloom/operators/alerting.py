@@ -125,21 +125,25 @@ def suppress_repeats(
     return slots.withColumn("_before", before).where(free).select(*key, "_first.*").select(*alerts.columns)
 
 
+def first_in_unit(alerts: DataFrame, seconds: int, n: int, by: Sequence[str], ts: str, order: str) -> DataFrame:
+    """The first ``n`` alerts of each stretch of ``seconds`` (in UTC), for each value of ``by``."""
+    in_turn = Window.partitionBy(*by, "_unit").orderBy(ts, order)
+    return (
+        alerts.withColumn("_unit", _slot(ts, seconds))
+        .withColumn("_turn", F.row_number().over(in_turn)).where(F.col("_turn") <= n).drop("_unit", "_turn")
+    )
+
+
 def limit_rate(
-    alerts: DataFrame, ts: str = "ts", order: str = "alert_id", per_hour: int = PER_HOUR, per_day: int = PER_DAY
+    alerts: DataFrame, ts: str = "ts", order: str = "alert_id", per_hour: int = PER_HOUR, per_day: int = PER_DAY,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """The first ``per_hour`` alerts of each hour, and of those the first ``per_day`` of each day (both in UTC).
 
-    A filter on the row number lets Spark drop the surplus of an hour before the shuffle.
+    The limits hold for all alerts, or for each value of ``by``.  A filter on the row number
+    lets Spark drop the surplus of an hour before the shuffle.
     """
-    def first(df: DataFrame, seconds: int, n: int) -> DataFrame:
-        in_turn = Window.partitionBy("_unit").orderBy(ts, order)
-        return (
-            df.withColumn("_unit", _slot(ts, seconds))
-            .withColumn("_turn", F.row_number().over(in_turn)).where(F.col("_turn") <= n).drop("_unit", "_turn")
-        )
-
-    return first(first(alerts, 3_600, per_hour), 86_400, per_day)
+    return first_in_unit(first_in_unit(alerts, 3_600, per_hour, by, ts, order), 86_400, per_day, by, ts, order)
 
 
 def quiet_filter(

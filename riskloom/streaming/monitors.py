@@ -1,8 +1,10 @@
 """Monitors and alert rules over streams.
 
 Each function takes a streaming DataFrame and returns one, built from the same column
-expressions as its batch twin.  ``run_to_table`` drives a stream through all available
-input into a table.
+expressions as its batch twin.  The ``run_*`` functions drive a stream through all available
+input into a table and return what it says so far, windows and alerts that may still change
+included; over the same rows that is the batch result, in whatever order and number of
+micro-batches they come, as long as no row is later than the watermark allows.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from riskloom import vocab as v
 from riskloom.functions.decisions import with_decisions
-from riskloom.operators import drift
+from riskloom.operators import alerting, drift
 from riskloom.operators.calibration import edges_below
 from riskloom.operators.validity import accepted, rejected
 from riskloom.runtime import scratch_path
@@ -49,6 +51,39 @@ def run_to_table(stream: DataFrame, path: str | None = None, name: str = "stream
     return spark.read.schema(stream.schema).parquet(target)
 
 
+def _run_batches(stream: DataFrame, mode: str, path: str | None, reduce=None) -> DataFrame:
+    """Write what each micro-batch brings, or its reduction, with the number of the batch.
+
+    A batch that is repeated after a failure replaces its own folder.
+    """
+    spark = stream.sparkSession
+    target = path or scratch_path(spark, "stream")
+    columns = F.lit(0).cast("bigint").alias("_batch")
+    empty = spark.createDataFrame([], stream.schema).select("*", columns)
+    empty.write.mode("overwrite").parquet(f"{target}/batch-none")
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = reduce(batch) if reduce else batch
+        rows.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{target}/batch-{number}")
+
+    query = (
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{target}-checkpoint")
+        .trigger(availableNow=True).foreachBatch(write).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(empty.schema).parquet(f"{target}/batch-*")
+
+
+def run_windows(stream: DataFrame, keys: Sequence[str] = ("window_start", "window_end"), path: str | None = None) -> DataFrame:
+    """All windows of an aggregated stream, open ones with what has come so far.
+
+    Every micro-batch writes the windows it changed; the last version of each counts.
+    """
+    rest = [c for c in stream.columns if c not in keys]
+    rows = _run_batches(stream, "update", path)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last")).select(*keys, "_last.*").select(*stream.columns)
+
+
 def _window_columns(rows: DataFrame) -> DataFrame:
     rest = [c for c in rows.columns if c != "w"]
     return rows.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *rest)
@@ -111,91 +146,107 @@ def drop_repeats(stream: DataFrame, key: Sequence[str] = ("key",), ts: str = "ts
     return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(list(key))
 
 
-def _state_per_key(stream: DataFrame, key: str, step, output: str, state: str) -> DataFrame:
-    return stream.groupBy(key).applyInPandasWithState(step, output, state, "append", "NoTimeout")
-
-
 def suppress_since_kept(
-    stream: DataFrame, key: str = "key", ts: str = "ts", order: str = "alert_id", minutes: int = 60
+    stream: DataFrame, key: str = "key", ts: str = "ts", order: str = "alert_id", minutes: int = 60, watermark: str = WATERMARK
 ) -> DataFrame:
-    """Rows (key, alert_id, ts) kept when no alert of the key was *kept* in the ``minutes`` before.
+    """Alerts (key, alert_id, ts, final) kept when no alert of the key was *kept* in the ``minutes`` before.
 
-    The state of a key is the instant of its last kept alert.  A micro-batch is bounded by the
-    source's trigger size and so is what one key brings at a time; only identifiers and
-    instants are sent to Python.
+    The state of a key is the instant of its last kept alert before the watermark, and one
+    alert per instant after it: those may still be overtaken by earlier ones, so what they give
+    is marked as not final and said anew with each change.  A key without either has no state.
+    Only identifiers and instants are sent to Python, rows of one instant once.  Rows without
+    an instant are left out.
     """
     gap = minutes * 60_000_000
 
+    def walk(instants, last):
+        kept = []
+        for us in instants:
+            if last is None or us >= last + gap:
+                kept.append(us)
+                last = us
+        return kept, last
+
     def step(group, batches, state):
-        import numpy as np
-
-        (last,) = state.get if state.exists else (None,)
-        rows = pd.concat(list(batches)).sort_values(["us", "alert"])
-        instants = rows["us"].to_numpy()
-        kept, at = [], 0 if last is None else int(np.searchsorted(instants, last + gap, "left"))
-        while at < len(instants):
-            kept.append(at)
-            last = int(instants[at])
-            at = int(np.searchsorted(instants, last + gap, "left"))
-        if kept:
-            state.update((last,))
-        chosen = rows.iloc[kept]
-        yield pd.DataFrame({"key": [str(group[0])] * len(chosen), "alert_id": chosen["alert"].to_numpy(), "us": chosen["us"].to_numpy()})
-
-    slim = stream.select(
-        F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("alert"), F.unix_micros(ts).alias("us")
+        last, waiting, alerts = state.get if state.exists else (None, [], [])
+        pending = dict(zip(waiting, alerts))
+        for batch in batches:
+            heads = batch.groupby("us")["alert"].min()
+            for us, alert in zip(heads.index.tolist(), heads.tolist()):
+                pending[us] = min(alert, pending.get(us, alert))
+        mark = state.getCurrentWatermarkMs()
+        instants = sorted(pending)
+        closed = [us for us in instants if us < mark * 1000]
+        instants = instants[len(closed):]
+        settled, last = walk(closed, last)
+        open_kept, _ = walk(instants, last)
+        if instants or (last is not None and last + gap > mark * 1000):
+            state.update((last, instants, [pending[us] for us in instants]))
+            state.setTimeoutTimestamp(max(mark + 1, (instants[0] if instants else last + gap) // 1000 + 1))
+        else:
+            state.remove()
+        rows = [(us, True) for us in settled] + [(us, False) for us in open_kept]
+        yield pd.DataFrame({
+            "key": [group[0]] * (len(rows) + 1),
+            "alert_id": pd.array([pending[us] for us, _ in rows] + [None], "Int64"),
+            "us": pd.array([us for us, _ in rows] + [None], "Int64"),
+            "final": [final for _, final in rows] + [False],  # the last row says that the key has changed
+        })
+
+    slim = stream.where(F.col(ts).isNotNull()).withWatermark(ts, watermark).select(
+        F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("alert"), F.unix_micros(ts).alias("us"), ts
+    )
+    state = "last bigint, waiting array<bigint>, alerts array<bigint>"
+    kept = slim.groupBy("key").applyInPandasWithState(
+        step, "key string, alert_id bigint, us bigint, final boolean", state, "update", "EventTimeTimeout"
     )
-    kept = _state_per_key(slim, "key", step, "key string, alert_id bigint, us bigint", "last bigint")
-    return kept.select("key", "alert_id", F.timestamp_micros("us").alias("ts"))
+    return kept.select("key", "alert_id", F.timestamp_micros("us").alias("ts"), "final")
 
 
-def limit_rate(
-    stream: DataFrame, key: str = "key", ts: str = "ts", order: str = "alert_id", per_hour: int = 10, per_day: int = 50
+def run_suppression(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """Rows (key, alert_id, ts) that ``suppress_since_kept`` keeps: final ones, and the last word on the others."""
+    rows = _run_batches(stream, "update", path)
+    newest = rows.groupBy(F.col("key").alias("_key")).agg(F.max("_batch").alias("_newest"))
+    said = rows.join(newest, F.col("key").eqNullSafe(F.col("_key")))
+    return said.where((F.col("final") | (F.col("_batch") == F.col("_newest"))) & F.col("ts").isNotNull()).select("key", "alert_id", "ts")
+
+
+def run_rate_limit(
+    stream: DataFrame, by: Sequence[str] = (), ts: str = "ts", order: str = "alert_id", per_hour: int = alerting.PER_HOUR,
+    per_day: int = alerting.PER_DAY, path: str | None = None,
 ) -> DataFrame:
-    """The first ``per_hour`` alerts of a key and hour, at most ``per_day`` of its day, in order of arrival.
+    """What ``alerting.limit_rate`` lets through: in all, or for each value of ``by``.
 
-    State per key: the current hour and day with their counts.
+    The first alerts of an hour are among the first of it in their micro-batch, so each batch
+    writes only those; no state is held, no key goes to one worker and no row can be too late.
     """
-    hour, day = 3_600_000_000, 86_400_000_000
+    def first_of_hours(batch: DataFrame) -> DataFrame:
+        return alerting.first_in_unit(batch, 3_600, per_hour, by, ts, order)
 
-    def step(group, batches, state):
-        in_hour, n_hour, in_day, n_day = state.get if state.exists else (-1, 0, -1, 0)
-        rows = pd.concat(list(batches)).sort_values(["us", "alert"])
-        # beyond the limit of an hour nothing can pass, so only its first rows are walked
-        heads = rows.groupby(rows["us"] // hour).head(per_hour)
-        kept = []
-        for alert, us in zip(heads["alert"], heads["us"]):
-            if us // hour != in_hour:
-                in_hour, n_hour = us // hour, 0
-            if us // day != in_day:
-                in_day, n_day = us // day, 0
-            if n_hour < per_hour and n_day < per_day:
-                kept.append((str(group[0]), int(alert), int(us)))
-                n_hour, n_day = n_hour + 1, n_day + 1
-        state.update((int(in_hour), int(n_hour), int(in_day), int(n_day)))
-        yield pd.DataFrame(kept, columns=["key", "alert_id", "us"])
-
-    slim = stream.select(
-        F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("alert"), F.unix_micros(ts).alias("us")
-    )
-    state = "in_hour bigint, n_hour bigint, in_day bigint, n_day bigint"
-    kept = _state_per_key(slim, "key", step, "key string, alert_id bigint, us bigint", state)
-    return kept.select("key", "alert_id", F.timestamp_micros("us").alias("ts"))
+    return alerting.limit_rate(_run_batches(stream, "append", path, first_of_hours).drop("_batch"), ts, order, per_hour, per_day, by)
 
 
-def escalations(
+def resolved_in_time(
     alerts: DataFrame, resolutions: DataFrame, alert_id: str = "alert_id", ts: str = "ts", hours: int = 4,
     watermark: str = WATERMARK,
 ) -> DataFrame:
-    """Alerts whose own resolution did not arrive within ``hours``: a left join of two streams.
+    """Ids of alerts whose own resolution came within ``hours``: a join of two streams.
 
-    Both sides carry a watermark and the join a time bound, so state is kept for ``hours`` only
-    and an unmatched alert comes out once its time has passed.
+    Both sides carry a watermark and the join a time bound, so state is kept for ``hours`` only.
     """
     raised = alerts.withWatermark(ts, watermark)
     solved = resolutions.select(F.col(alert_id).alias("_id"), F.col(ts).alias("_resolved")).withWatermark("_resolved", watermark)
     in_time = F.expr(f"_id = {alert_id} AND _resolved >= {ts} AND _resolved <= {ts} + INTERVAL {hours} HOURS")
-    return raised.join(solved, in_time, "leftOuter").where(F.col("_resolved").isNull()).drop("_id", "_resolved")
+    return raised.join(solved, in_time).select(alert_id)
+
+
+def run_escalations(
+    alerts: DataFrame, resolutions: DataFrame, alert_id: str = "alert_id", ts: str = "ts", hours: int = 4,
+    watermark: str = WATERMARK,
+) -> DataFrame:
+    """Alerts that no resolution of their own followed within ``hours`` in all that has come."""
+    matched = run_to_table(resolved_in_time(alerts, resolutions, alert_id, ts, hours, watermark))
+    return run_to_table(alerts).join(matched, alert_id, "left_anti")
 
 
 def decisions(stream: DataFrame, score: str = "score", keep: Sequence[str] = (v.KEY,)) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,8 @@ SAMPLE = [
     "read_client_csv", "impute_median", "rejected_rows", "describe_order_lines", "features_notebook", "prediction_summary",
     "order_line_metrics", "threshold_comparison", "reliability_quantile", "histograms_30", "csi_order_lines", "score_monitoring",
     "stratified_split_sizes", "fairness_by_age", "suppressed_repeats", "escalations", "stream_error_rates",
+    "stream_psi_per_day", "stream_proxies_per_day", "stream_error_rates_sliding", "stream_suppress_since_kept", "stream_rate_limit",
+    "stream_escalations",
 ]
 
 
