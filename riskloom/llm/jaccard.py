@@ -115,7 +115,7 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
 
 
-def _prefixes(k: int, percent: int, levels: np.ndarray):
+def _prefixes(k: int, percent: int, levels: np.ndarray, cold_level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.slices(batch, "text"):
@@ -127,7 +127,7 @@ def _prefixes(k: int, percent: int, levels: np.ndarray):
                 rarest = [a + np.argsort(level[a:b], kind="stable")[:m] for a, b, m in zip(ends[:-1], ends[1:], keep, strict=True)]
                 rarest = np.concatenate(rarest)
                 first = grams[rarest].view(np.int64)
-                cold = np.bincount(of[rarest], weights=level[rarest] <= COLD_LEVEL, minlength=part.num_rows)
+                cold = np.bincount(of[rarest], weights=level[rarest] <= cold_level, minlength=part.num_rows)
                 cut = ((grams >> np.uint64(7)) % np.uint64(PARTS)).astype(np.int64) + of * PARTS
                 parts = np.minimum(np.bincount(cut, minlength=part.num_rows * PARTS), 32_767).astype(np.int16)
                 some = pa.array(sizes > 0)
@@ -243,7 +243,8 @@ def near_groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[Da
         levels[row["block"]] = np.frombuffer(row["level"], dtype=np.uint8)
 
     shaped = texts.mapInArrow(
-        _prefixes(k, percent, levels.reshape(-1)), "doc_id bigint, n int, digest binary, prefix array<bigint>, cold int, parts array<smallint>"
+        _prefixes(k, percent, levels.reshape(-1), COLD_LEVEL),
+        "doc_id bigint, n int, digest binary, prefix array<bigint>, cold int, parts array<smallint>"
     )
     classes = pin(shaped.groupBy("digest").agg(  # equal sets have equal prefixes and parts
         F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), F.any_value("n").alias("n"),

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from riskloom.llm import packing, queries, winnowing
+from riskloom.llm import jaccard, packing, queries, winnowing
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -91,6 +91,13 @@ def test_jaccard(spark, texts):
         assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), top(r["doc_id"]))
 
 
+def test_jaccard_is_the_same_with_frequent_grams(spark, monkeypatch):
+    want = sorted(rows(spark, "op4_ngram_jaccard"), key=str)
+    for level in (-1, 12):  # all n-grams, then those counted more than about three times
+        monkeypatch.setattr(jaccard, "COLD_LEVEL", level)
+        assert sorted(rows(spark, "op4_ngram_jaccard"), key=str) == want
+
+
 def test_winnowing(spark, texts):
     found = {r["doc_id"]: r for r in rows(spark, "op5_winnowing")}
     for i, (doc, text) in enumerate(texts):
