@@ -19,8 +19,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies."""
-    return jaccard.drop_near_copies(docs)
+    """One document of each group of copies and near copies: runs of five words, similarity 0.8 or more."""
+    return jaccard.drop_near_copies(docs, k=5, percent=80)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
