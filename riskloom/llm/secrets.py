@@ -3,8 +3,9 @@
 Strong finds are reported wherever they stand: assignments of long values to secret names
 (``assign``), access identifiers (``access``) and long hexadecimal runs (``hex``).  Weak parts
 are reported only where parts that complement each other stand close together in one scope:
-an identifier (``part_id``), a secret value (``part_secret``) and an endpoint
-(``part_endpoint``).  A scope is a paragraph, text between empty lines.  The link is an interval
+an identifier (``part_id``), a secret value (``part_secret``: under a secret name, at any length, or
+a bare token) and an endpoint (``part_endpoint``).  A value that ``assign`` reports is no weak part,
+nor is a bare token within another find.  A scope is a paragraph, text between empty lines.  The link is an interval
 join: parts are put into buckets of ``REACH`` characters and joined with those of the same scope
 in the same and the neighbouring buckets that start at most ``REACH`` characters away.  A weak
 part is reported if a part of another kind (an endpoint: a secret) is among them; an assignment
@@ -31,9 +32,12 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 # a run is kept or dropped as a whole, so its least length can be part of the pattern
 ACCESS_KEPT, HEX_KEPT = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 
-# weak parts: any identifier-like name with a value, a bare mixed token, and an address
-PART_ID = r"""(?i)\b(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,}"""
-PART_SECRET = r"""(?i)\b(?:pass|pwd|password|passwd|secret|token|key|api_?key|secret_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,11}(?![A-Za-z0-9+/_.=-])"""
+# weak parts: any identifier-like name with a value, a secret-like name with a value or a bare mixed token, and an address;
+# names may have a prefix, and an access key is an identifier unless it is called secret
+PART_ID = r"""(?i)(?<![A-Za-z0-9_])(?:[A-Za-z0-9_]*_)?(?:user(?:name)?|login|client_?id|(?<!secret)(?<!secret_)access_?key(?:_?id)?|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
+PART_SECRET = r"""(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_]*(?:pass(?:word|wd)?|pwd|secret|token|(?<!access)(?<!access_)key|secret_?access_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""
+# a bare token has 16 characters or more, with lower and upper case and digits
+BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{16})(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]+={0,2}(?![A-Za-z0-9+/_=-])"
 PART_ENDPOINT = r"""(?i)\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{4,}"""
 
 BASE = ("assign", "access", "hex")
@@ -87,6 +91,13 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
+def _apart(spans: Column, others: Column, covered: bool = False) -> Column:
+    """The spans that overlap none of ``others``, or that none of them covers up to the end."""
+    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (
+        (o["start"] < s["stop"]) & (s["start"] < o["stop"]) & (F.lit(not covered) | (s["stop"] <= o["stop"]))
+    )))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``__base`` and ``__weak``, the spans found without looking at neighbours.
 
@@ -106,8 +117,11 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         ))
         for kind, p in patterns.items()
     })
+    # a bare token counts beside an identifier or endpoint only, so other rows are not searched for it
+    beside = (F.size("__part_id") > 0) | (F.size("__part_endpoint") > 0) | (F.size("__access") > 0)
+    shown = shown.withColumn("__bare", F.when(beside, _found(plain, BARE)))
     spans = {}
-    for kind, pattern in patterns.items():
+    for kind, pattern in {**patterns, "bare": BARE}.items():
         found = F.col(f"__{kind}")
         some = _placed(plain, pattern, found)
         if kind == "assign":  # scanned as written, then failing values are dropped: they hide what they cover
@@ -115,10 +129,14 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             long = F.transform(found, lambda hit: F.length(F.regexp_extract(hit, value, 1)) >= LEAST["assign"])
             both = F.zip_with(some, long, lambda s, ok: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), ok.alias("ok")))
             some = F.transform(F.filter(both, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
-        spans[kind] = _named(kind, F.when(F.size(found) > 0, some).otherwise(none))
-    return shown.withColumns({
-        "__base": F.concat(*[spans[k] for k in BASE]), "__weak": F.concat(*[spans[k] for k in WEAK]),
-    }).drop(*[f"__{k}" for k in KINDS])
+        spans[kind] = _named("part_secret" if kind == "bare" else kind, F.when(F.size(found) > 0, some).otherwise(none))
+    at = {k: F.col(f"__at_{k}") for k in spans}
+    placed = shown.withColumns({f"__at_{k}": s for k, s in spans.items()})
+    named = _apart(at["part_secret"], at["assign"], covered=True)
+    bare = _apart(at["bare"], F.concat(*[at[k] for k in (*WEAK, "assign", "access")]))
+    return placed.withColumns({
+        "__base": F.concat(*[at[k] for k in BASE]), "__weak": F.concat(at["part_id"], named, bare, at["part_endpoint"]),
+    }).drop(*[f"__{k}" for k in spans], *[f"__at_{k}" for k in spans])
 
 
 def linked(found: DataFrame, keys: list[str], reach: int = REACH) -> DataFrame:
