@@ -8,7 +8,8 @@ A group has just enough sequences for its tokens; a remainder that fits nowhere
 sequence with most room.  So all sequences of a group together lack fewer than ``capacity`` tokens.
 
 Encoding uses the tiktoken form of the vocabulary, whose ids equal those of the tokenizers file
-(the tests compare them); a text it refuses is encoded by the tokenizers library.
+(the tests compare them), also where a text holds one of the file's added tokens; a text it
+refuses is encoded by the tokenizers library.
 
 Defined results: a null or empty text is the separator alone, one piece of length 1; rows that
 repeat an id are documents of their own; other columns are ignored; an empty table gives an
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import math
 import zlib
 from collections.abc import Iterator
@@ -43,17 +45,26 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(vocabulary: str = VOCABULARY):
-    """text -> ids, by a public vocabulary; special tokens in a text are ordinary text."""
+    """text -> ids, by a public vocabulary; an added token of its file in a text is one id."""
     if vocabulary not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-        fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+            added = json.load(file)["added_tokens"]
+        # such a token splits the text wherever it stands; one that takes in its surroundings is left to the library
+        plain = {t["content"]: t["id"] for t in added if not any(t[x] for x in ("single_word", "lstrip", "rstrip", "normalized"))}
+        others = [t["content"] for t in added if t["content"] not in plain]
+        fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=plain)
 
         def encode(text: str) -> list[int]:
+            if any(token in text for token in others):
+                return slow_encoder(vocabulary)(text)
             try:
+                if any(token in text for token in plain):
+                    return fast.encode(text, allowed_special="all")
                 return fast.encode_ordinary(text)
             except BaseException as refused:  # the library's panic is no Exception
                 if isinstance(refused, (KeyboardInterrupt, SystemExit)):
@@ -70,7 +81,6 @@ def slow_encoder(vocabulary: str = VOCABULARY):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    plain.encode_special_tokens = True
     return lambda text: plain.encode(text, add_special_tokens=False).ids
 
 
