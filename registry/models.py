@@ -129,19 +129,21 @@ def _(spark, folder):
     return training.model_record(split, len(v.MODEL_FEATURES), training.GRADIENT_BOOSTING)
 
 
-def attributions(spark, folder):
+def attributions(spark, folder, sample=None):
+    """Attributions of all rows, or of ``sample`` rows, against the documented background."""
     rows = pin(featured(spark, folder, INPUTS))
     names = training.plain_features(INPUTS)
     model = training.fit_model(rows, "logistic_regression", names, scale=True, maxIter=20)
+    explained = rows if sample is None else attribution.hash_sample(rows, sample)
     return attribution.shapley(
-        attribution.hash_sample(rows, 20), attribution.hash_sample(rows, 10, seed=7), names,
+        explained, attribution.hash_sample(rows, attribution.BACKGROUND_ROWS, seed=7), names,
         lambda states: training.scored(model, states), orders=2,
     )
 
 
 @query("shapley_ranking")
 def _(spark, folder):
-    return attribution.attribution_ranking(attributions(spark, folder))
+    return attribution.attribution_ranking(attributions(spark, folder, attribution.SAMPLE_ROWS))
 
 
 @query("top_attributions_per_row")

@@ -1,4 +1,4 @@
-"""Shapley attributions of a scoring model on a small sample, as a Spark job."""
+"""Shapley attributions of a scoring model against a small background, as a Spark job."""
 
 from __future__ import annotations
 
@@ -28,8 +28,10 @@ def shapley(
 
     A feature order walks from a background row to the explained row one feature at a time;
     the score change at a feature's step is its contribution.  The walks are rows, the model
-    scores them all in one pass, and the contributions are averaged per row and feature.
-    ``score`` adds a ``score`` column.
+    scores them all in one pass, and the contributions are averaged per row and feature: a state
+    counts for the feature that led to it and against the next one, so walks need no order and
+    are summed where they are made.  ``rows`` may be a whole table with one row per key; the
+    background is small.  ``score`` adds a ``score`` column.
     """
     names = list(features)
     m = len(names)
@@ -38,7 +40,9 @@ def shapley(
         F.col(key).alias("_b"), F.array(*[F.col(f).cast("double") for f in names]).alias("_y")
     )
     turns = F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("_order")
-    walks = target.crossJoin(small_side(base)).select("*", turns)  # both sides are small samples
+    # a few rows make many states, so rows are dealt out by key first
+    dealt = target.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    walks = dealt.crossJoin(small_side(base)).select("*", turns)
 
     def place(i: int):
         return F.struct(F.xxhash64(F.col(key), F.col("_b"), F.col("_order"), F.lit(i), F.lit(seed)).alias("h"), F.lit(i).alias("i"))
@@ -51,12 +55,15 @@ def shapley(
         for i, f in enumerate(names)
     ]
     changed = F.when(F.col("_step") > 0, F.element_at("_turn", F.greatest(F.col("_step"), F.lit(1))))
-    states = steps.select(key, "_b", "_order", "_step", changed.alias("_changed"), *mixed)
-    valued = score(states).select(key, "_b", "_order", "_step", "_changed", "score")
-    before = F.lag("score").over(Window.partitionBy(key, "_b", "_order").orderBy("_step"))
-    gains = valued.withColumn("_gain", F.col("score") - before).where(F.col("_step") > 0)
-    label = F.element_at(F.array(*[F.lit(f) for f in names]), F.col("_changed") + 1)
-    return gains.groupBy(key, label.alias("feature")).agg(F.avg("_gain").alias("attribution"))
+    coming = F.when(F.col("_step") < m, F.element_at("_turn", F.least(F.col("_step") + 1, F.lit(m))))
+    states = steps.select(key, changed.alias("_changed"), coming.alias("_coming"), *mixed)
+    sides = F.array(
+        F.struct(F.col("_changed").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("_coming").alias("at"), F.lit(-1).alias("sign"))
+    )
+    gains = score(states).select(key, "score", F.explode(sides).alias("_side")).where(F.col("_side.at").isNotNull())
+    label = F.element_at(F.array(*[F.lit(f) for f in names]), F.col("_side.at") + 1)
+    mean = F.sum(F.col("_side.sign") * F.col("score")) / F.count_if(F.col("_side.sign") > 0)
+    return gains.groupBy(key, label.alias("feature")).agg(mean.alias("attribution"))
 
 
 def attribution_ranking(attributions: DataFrame) -> DataFrame:
