@@ -72,7 +72,7 @@ def _(spark, folder):
 
 @query("bootstrap_intervals_order_lines")
 def _(spark, folder):
-    return resampling.bootstrap_intervals(scored_items(spark, folder), replicates=200, threshold=0.5)
+    return resampling.bootstrap_intervals(scored_items(spark, folder), replicates=1000, threshold=0.5)
 
 
 def fairness_sql(group: str, source: str, threshold: str = "0.12e0", by: str = "") -> str:

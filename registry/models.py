@@ -14,8 +14,6 @@ from riskloom.plans import scoring, training
 from riskloom.runtime import pin, scratch_path
 from riskloom.sources.runs import append_run, run_row
 
-# settings small enough for a check; the published ones are the defaults of the library
-FEW_TREES = {"maxIter": 5, "maxDepth": 3}
 INPUTS = ["LIMIT_BAL", "AGE", "PAY_0", "PAY_2", "BILL_AMT1", "PAY_AMT1", "utilization_1", "payment_ratio_1"]
 
 
@@ -34,12 +32,12 @@ def metric_rows(result):
 
 @query("train_gradient_boosting")
 def _(spark, folder):
-    return metric_rows(trained(spark, folder, **FEW_TREES))
+    return metric_rows(trained(spark, folder))
 
 
 @query("train_random_forest")
 def _(spark, folder):
-    return metric_rows(trained(spark, folder, "random_forest", "sigmoid", numTrees=10, maxDepth=5))
+    return metric_rows(trained(spark, folder, "random_forest", "sigmoid"))
 
 
 @query("train_logistic_regression")
@@ -72,7 +70,7 @@ def _(spark, folder):
     parts = pin(stratified_split(featured(spark, folder, INPUTS)))
     train, test = parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split")
     return training.cross_calibrated_scores(
-        train, test, "logistic_regression", "isotonic", training.plain_features(INPUTS), k=3, maxIter=20
+        train, test, "logistic_regression", "isotonic", training.plain_features(INPUTS)
     ).select("ID", "score")
 
 
@@ -86,21 +84,21 @@ def _(spark, folder):
 @query("parameter_search")
 def _(spark, folder):
     rows = pin(featured(spark, folder, INPUTS))
-    return training.search(rows, training.plain_features(INPUTS), trials=2, k=2, maxIter=3, maxDepth=2, minInstancesPerNode=5)
+    return training.search(rows, training.plain_features(INPUTS))
 
 
 @query("feature_importance")
 def _(spark, folder):
     rows = pin(featured(spark, folder))
     names = training.plain_features()
-    return training.feature_importance(training.fit_model(rows, "gradient_boosting", names, **FEW_TREES), names, spark)
+    return training.feature_importance(training.fit_model(rows, "gradient_boosting", names), names, spark)
 
 
 @query("batch_scoring_with_saved_model")
 def _(spark, folder):
     names = training.plain_features()
     path = scratch_path(spark, "model")
-    training.save_model(training.fit_model(pin(featured(spark, folder)), "gradient_boosting", names, **FEW_TREES), path)
+    training.save_model(training.fit_model(pin(featured(spark, folder)), "gradient_boosting", names), path)
     raw = panel(spark, folder).drop("score")
     return scoring.score_and_save(training.load_model(spark, path), raw, scratch_path(spark, "scored"), variant="notebook")
 
@@ -108,7 +106,7 @@ def _(spark, folder):
 @query("reference_scores")
 def _(spark, folder):
     names = training.plain_features()
-    model = training.fit_model(pin(featured(spark, folder)), "random_forest", names, numTrees=5, maxDepth=4)
+    model = training.fit_model(pin(featured(spark, folder)), "random_forest", names)
     return scoring.model_scores(model, with_features(panel(spark, folder).drop("score"), "notebook"))
 
 
