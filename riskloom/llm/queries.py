@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import jaccard, licenses, lines, merkle, mixing, packing, secrets, threads, tokencounts, toxicity, warc, winnowing
+from riskloom.llm import jaccard, lexical, licenses, lines, merkle, mixing, packing, secrets, threads, tokencounts, toxicity, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op6_warc": warc.SQL, "op12_merkle_manifest": merkle.SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op6_warc": warc.SQL, "op11_lexical_search": lexical.SQL, "op12_merkle_manifest": merkle.SQL}
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,5 +40,12 @@ _over("op10_line_cleaning", "documents")(lines.quality_report)
 _over("op6_warc", "pages")(warc.archive_report)
 _over("op7_license_scan", "documents")(licenses.license_report)
 _over("op8_quotation_links", "conversations")(threads.link_quotations)
+
+
+def _searched(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+QUERIES["op11_lexical_search"] = _searched
 _over("op12_merkle_manifest", "documents")(merkle.tamper_report)
 _over("op13_token_counts", "documents")(tokencounts.count_report)
