@@ -36,6 +36,8 @@ from riskloom.llm import words
 from riskloom.runtime import pin
 
 MOST = 50
+#: highest bounds scored exactly for a threshold, as a multiple of the results asked for
+AHEAD = 4
 #: frequencies told apart by signatures
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256)
 HASHES, BITS_PER_TERM = 3, 12
@@ -362,8 +364,8 @@ def _search(docs: DataFrame, terms: Terms, most: int) -> DataFrame:
     index = pin(build_index(docs, terms))
     corpus = corpus_of(index, terms)
     slices = index.select("block", "width", "sizes", "slices")
-    high = _merged(slices.mapInArrow(_highest_bounds(terms, corpus, most), _FOUND), most)
-    wanted = high.groupBy(F.col("more").alias("block")).agg(F.collect_set("doc_id").alias("columns"))  # at most ``most`` rows an item
+    high = _merged(slices.mapInArrow(_highest_bounds(terms, corpus, AHEAD * most), _FOUND), AHEAD * most)
+    wanted = high.groupBy(F.col("more").alias("block")).agg(F.collect_set("doc_id").alias("columns"))  # at most ``AHEAD * most`` rows an item
     few = index.select("block", "ids", "sizes", "texts").join(F.broadcast(wanted), "block").select(
         F.explode("columns").alias("column"), "ids", "sizes", "texts"
     ).select(*(F.get(c, F.col("column").cast("int")).alias(n) for c, n in (("ids", "doc_id"), ("sizes", "size"), ("texts", "text"))))
