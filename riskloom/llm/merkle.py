@@ -14,7 +14,8 @@ where their block is, and no task holds more than one block and one path.
 Defined results: NULL fields count as ``-``, others as their UTF-8 length, a colon and their value; a NULL group
 is a tree of its own, before the others; NULL ids come first in their tree; rows that repeat an id
 are leaves of their own, ordered by digest; fields other than the named ones are ignored; a table of one row has
-the leaf as root and the digest of nothing as proof; an empty table gives an empty result.
+the leaf as root and the digest of nothing as proof; a tampered row whose fields
+stay the same (no n_chars to change) has no version of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -148,11 +149,11 @@ def climb(nodes: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
 
 def _leaves(docs: DataFrame, key: str, tree: str, fields: Sequence[str], change: Column, changed: dict[str, Column]) -> DataFrame:
     """Leaves with their place in their tree: columns id, tree, at, n, digest, changed (NULL where nothing is)."""
-    new = leaf([changed.get(f, F.col(f)) for f in fields])
+    old, new = leaf([F.col(f) for f in fields]), leaf([changed.get(f, F.col(f)) for f in fields])
     name = F.coalesce(F.concat(F.lit("="), F.col(tree).cast("string")), F.lit("-"))  # NULL before all others
     found = pin(docs.select(
-        F.col(key).alias("__id"), name.alias("__tree"), leaf([F.col(f) for f in fields]).alias("__digest"),
-        F.when(change, new).alias("__changed"), F.monotonically_increasing_id().alias("__salt"),
+        F.col(key).alias("__id"), name.alias("__tree"), old.alias("__digest"),
+        F.when(change, F.nullif(new, old)).alias("__changed"), F.monotonically_increasing_id().alias("__salt"),
     ))
     ranked = numbered(found, [F.col("__tree"), F.col("__id").asc_nulls_first(), F.col("__digest"), F.col("__salt")], "__at").drop("__salt")
     ranked = pin(ranked)
