@@ -11,7 +11,7 @@ from registry.drifting import PROXY_ALERTS, joined_alerts
 from riskloom.operators import drift
 from riskloom.operators.calibration import edges_below
 from riskloom.runtime import scratch_path
-from riskloom.streaming import monitors
+from riskloom.streaming import monitors, stateful
 
 
 def event_stream(spark, folder):
@@ -110,6 +110,29 @@ def _(spark, folder):
     return plain_time(monitors.run_escalations(errors, solved))
 
 
+@query("stream_rate_limit_timers", f"""WITH {ALERTS_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY severity, date_trunc('hour', ts) ORDER BY ts, alert_id) AS r FROM al),
+    d AS (SELECT *, row_number() OVER (PARTITION BY severity, date_trunc('day', ts) ORDER BY ts, alert_id) AS s FROM h WHERE r<=10) SELECT severity, alert_id, ts FROM d WHERE s<=50""")
+def _(spark, folder):
+    return plain_time(stateful.run_closed(lambda end: stateful.limit_rate(alert_stream(spark, folder), ["severity"], end=end), spark))
+
+
+@query("stream_escalation_timers", """SELECT CAST(a.user_id AS VARCHAR) AS key, a.event_id AS alert_id, a.ts FROM events a WHERE a.event_type='error' AND NOT EXISTS (
+    SELECT 1 FROM events r WHERE r.event_type<>'error' AND r.user_id=a.user_id AND r.ts>a.ts AND r.ts<=a.ts+INTERVAL 4 HOUR)""")
+def _(spark, folder):
+    stream = event_stream(spark, folder).select(F.col("event_id").alias("alert_id"), "ts", F.col("user_id").cast("string").alias("key"), "event_type")
+    errors, others = stream.where("event_type = 'error'"), stream.where("event_type <> 'error'")
+    return plain_time(stateful.run_closed(lambda end: stateful.escalate(errors, others, end=end), spark))
+
+
+@query("stream_escalations_late", """SELECT event_id AS alert_id, ts FROM events WHERE event_type='error' AND event_id%4 IN (2, 3)""")
+def _(spark, folder):
+    """Resolutions after one hour, after four (in time), after five (late), and none."""
+    errors = event_stream(spark, folder).where("event_type = 'error'").select(F.col("event_id").alias("alert_id"), "ts")
+    after = F.element_at(F.array(*[F.lit(h) for h in (1, 4, 5)]), (F.col("alert_id") % 4 + 1).cast("int"))
+    solved = errors.where("alert_id % 4 < 3").withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + after * 3_600_000_000))
+    return plain_time(stateful.run_closed(lambda end: stateful.escalate_unanswered(errors, solved, end=end), spark))
+
+
 def client_stream(spark, folder):
     path = scratch_path(spark, "applications")
     panel(spark, folder).write.parquet(path)
