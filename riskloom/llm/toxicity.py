@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +44,8 @@ PENALTY = 1e-3
 FOLDS = 5
 #: partitions of the bounded training sample, and blocks of its feature counts
 PARTS, BLOCKS = 16, 64
+#: bytes of text whose n-grams are hashed at a time
+SLICE = 256 << 10
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
@@ -89,7 +92,7 @@ def _counts(bits: int, grams: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, rows = np.zeros((2, 1 << bits), dtype=np.int32), [0, 0]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 for label, slots in zip(part.column("toxic").to_pylist(), distinct_grams(part.column("text"), grams, bits), strict=True):
                     sums[label][slots] += 1
                     rows[label] += 1
@@ -148,14 +151,19 @@ def fit(
     place = np.full(size, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
 
-    def vectors(rows: Iterator[Row]) -> Iterator[Row]:
-        for row in rows:
-            slots = next(distinct_grams(pa.array([row["text"]], pa.string()), grams, bits))
-            at = np.sort(place[slots][place[slots] >= 0])
-            yield Row(label=float(row["toxic"]), features=SparseVector(len(kept), at, ratio[kept[at]]))
-
-    shape = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])
-    rows = docs.sparkSession.createDataFrame(sample.rdd.mapPartitions(vectors), shape)
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                found = [place[s][place[s] >= 0] for s in distinct_grams(part.column("text"), grams, bits)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("toxic").cast(pa.float64()), pa.array([f.astype(str).tolist() for f in found], pa.list_(pa.string()))],
+                    names=["label", "found"],
+                )
+
+    # the features are put together by the JVM, so that no second pool of Python workers is needed for vectors
+    named = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(kept))], "found", "present", binary=True)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(ratio[kept]), inputCol="present", outputCol="features")
+    rows = pin(scaled.transform(named.transform(sample.mapInArrow(telling, "label double, found array<string>"))).select("label", "features"))
     fitted = LogisticRegression(maxIter=40, regParam=penalty, standardization=False).fit(rows)
     weights = np.zeros(size, dtype=np.float32)
     weights[kept] = fitted.coefficients.toArray() * ratio[kept]
@@ -165,7 +173,7 @@ def fit(
 def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 if model.constant is not None:
                     scores = np.full(part.num_rows, model.constant)
                 else:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text worked on at a time; one longer text is worked on alone
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
