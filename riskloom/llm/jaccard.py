@@ -5,9 +5,11 @@ space); a shorter text is one run.  Two documents link when ``100 * |x & y| >= p
 
 1. Documents with equal sets form a class, known by a 128-bit digest; from here on one document
    stands for its class, so copies cost nothing.
-2. All n-grams get one order, rarest first: by their count in a table of 2**24 slots summed over all
-   documents (its size is fixed; ties by hash).  Each class is indexed under its prefix, the first
-   ``n - ceil(percent * n / 100) + 1`` n-grams, without which no partner can have enough in common.
+2. All n-grams get one order, rarest first: by an upper bound of their count, ties by hash.  The bound is
+   the smallest of their count in a table of 2**24 slots and of the counts of their words in one of 2**23, both
+   summed over all documents (their size is fixed).  Each class is indexed under its prefix, the first
+   ``n - ceil(percent * n / 100) + 1`` n-grams, without which no partner can have enough in common.  An n-gram
+   whose bound is 1 is in no other document and does not enter the index.
 3. Candidates share a prefix n-gram and pass filters on the lengths, on the positions of the shared
    n-gram, on how many of their prefix n-grams are in no other prefix (those of the set whose prefix
    ends earlier are not in its partner), and on the sizes of the parts into which a hash cuts both
@@ -41,7 +43,9 @@ from riskloom.runtime import pin
 
 K = 3
 PERCENT = 90
-SLOT_BITS = 24
+SLOT_BITS, WORD_BITS = 24, 23
+#: the level of a count of 1
+ONCE = 6
 BLOCKS = 256
 #: parts of a set whose sizes the suffix filter compares
 PARTS = 32
@@ -55,18 +59,44 @@ MAP_BITS = 23
 
 def _sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes, sorted within each text, and where each text's begin and end."""
+    grams, ends, _ = _marked_sets(part, k)
+    return grams, ends
+
+
+def _words(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every word."""
     raw, offsets = words.buffer(part.column("text"))
     raw = words.lower_ascii(raw)
     starts, ends, owner = words.word_bounds(raw, offsets, words.PLAIN)
-    grams, of = words.shingles(words.word_hashes(raw, starts, ends), owner, k)
+    return words.word_hashes(raw, starts, ends), owner
+
+
+def _marked_sets(part: pa.RecordBatch, k: int, word_levels: np.ndarray | None = None, found=None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """As ``_sets``, with the lowest level among each n-gram's words (that of a shorter text's run is the highest there is)."""
+    hashes, owner = _words(part) if found is None else found
+    grams, of = words.shingles(hashes, owner, k)
+    marks = None
+    if word_levels is not None:
+        level = word_levels[_word_slots(hashes)]
+        marks = np.full(len(grams), 255, dtype=np.uint8)
+        if len(hashes) >= k:
+            lowest = np.minimum.reduce([level[j: len(level) - k + 1 + j] for j in range(k)])
+            lowest = lowest[owner[: len(lowest)] == owner[k - 1:]]
+            marks[: len(lowest)] = lowest  # runs of shorter texts stand at the end
     order = np.argsort(of, kind="stable")  # texts of one run stand at the end
     grams, of = grams[order], of[order]
     ends = np.searchsorted(of, np.arange(part.num_rows + 1))
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        grams[a:b].sort()
+    if marks is None:
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            grams[a:b].sort()
+    else:
+        marks = marks[order]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            own = np.argsort(grams[a:b])
+            grams[a:b], marks[a:b] = grams[a:b][own], marks[a:b][own]
     new = np.ones(len(grams), dtype=bool)
     new[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
-    return grams[new], np.r_[0, np.cumsum(new)][ends]
+    return grams[new], np.r_[0, np.cumsum(new)][ends], None if marks is None else marks[new]
 
 
 def _digests(grams: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
@@ -82,23 +112,30 @@ def _slots(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def _word_slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
 def _signed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+        counts = np.zeros((1 << SLOT_BITS) + (1 << WORD_BITS), dtype=np.int32)
+        by_gram, by_word = counts[: 1 << SLOT_BITS], counts[1 << SLOT_BITS:]
         for batch in batches:
             for part in words.slices(batch, "text"):
-                grams, ends = _sets(part, k)
-                np.add.at(counts, _slots(grams), np.int32(1))
+                found = _words(part)
+                grams, ends, _ = _marked_sets(part, k, found=found)
+                np.add.at(by_gram, _slots(grams), np.int32(1))
+                np.add.at(by_word, _word_slots(found[0]), np.int32(1))
                 rows = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(_digests(grams, ends), pa.binary()),
                      pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "n", "cls", "block", "counts"],
                 )
         if counts.any():
-            blocks = [zlib.compress(b.tobytes(), 1) for b in counts.reshape(BLOCKS, -1)]
+            blocks = [zlib.compress(b.tobytes(), 1) for table in (by_gram, by_word) for b in table.reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.binary()),
-                 pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())],
+                [pa.nulls(2 * BLOCKS, pa.int64()), pa.nulls(2 * BLOCKS, pa.int64()), pa.nulls(2 * BLOCKS, pa.binary()),
+                 pa.array(range(2 * BLOCKS), pa.int32()), pa.array(blocks, pa.binary())],
                 names=["doc_id", "n", "cls", "block", "counts"],
             )
 
@@ -115,28 +152,32 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
 
 
-def _prefixes(k: int, percent: int, levels: np.ndarray, cold_level: int):
+def _prefixes(k: int, percent: int, levels: np.ndarray, word_levels: np.ndarray, cold_level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.slices(batch, "text"):
-                grams, ends = _sets(part, k)
+                grams, ends, marks = _marked_sets(part, k, word_levels)
                 sizes = np.diff(ends)
                 of = np.repeat(np.arange(part.num_rows), sizes)
-                level = levels[_slots(grams)]
+                level = np.minimum(levels[_slots(grams)], marks)
                 keep = np.where(sizes > 0, sizes - (-(-sizes * percent // 100)) + 1, 0)
                 rarest = [a + np.argsort(level[a:b], kind="stable")[:m] for a, b, m in zip(ends[:-1], ends[1:], keep, strict=True)]
                 rarest = np.concatenate(rarest)
-                first = grams[rarest].view(np.int64)
+                pos = np.arange(len(rarest)) - np.repeat(np.cumsum(keep) - keep, keep)
                 cold = np.bincount(of[rarest], weights=level[rarest] <= cold_level, minlength=part.num_rows)
+                shared = level[rarest] > ONCE
+                rarest, pos = rarest[shared], pos[shared]
+                first = grams[rarest].view(np.int64)
+                held = pa.array(np.r_[0, np.cumsum(np.bincount(of[rarest], minlength=part.num_rows))], pa.int32())
                 cut = ((grams >> np.uint64(7)) % np.uint64(PARTS)).astype(np.int64) + of * PARTS
                 parts = np.minimum(np.bincount(cut, minlength=part.num_rows * PARTS), 32_767).astype(np.int16)
                 some = pa.array(sizes > 0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(_digests(grams, ends), pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)], pa.int32()), pa.array(first)),
-                     pa.array(cold.astype(np.int32)),
+                     pa.ListArray.from_arrays(held, pa.array(first)), pa.ListArray.from_arrays(held, pa.array(pos, pa.int32())),
+                     pa.array(keep, pa.int32()), pa.array(cold.astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * PARTS, pa.int32()), pa.array(parts))],
-                    names=["doc_id", "n", "digest", "prefix", "cold", "parts"],
+                    names=["doc_id", "n", "digest", "prefix", "places", "indexed", "cold", "parts"],
                 ).filter(some)
 
     return run
@@ -237,19 +278,22 @@ def near_groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[Da
     rows = signed.filter("block IS NULL").select("doc_id", "n", "cls")
     blocks = signed.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(
         _levels, "block int, level binary"
-    ).collect()  # 2**24 bytes, whatever the input
+    ).collect()  # 2**24 and 2**23 bytes, whatever the input
     levels = np.zeros((BLOCKS, (1 << SLOT_BITS) // BLOCKS), dtype=np.uint8)
+    word_levels = np.zeros((BLOCKS, (1 << WORD_BITS) // BLOCKS), dtype=np.uint8)
     for row in blocks:
-        levels[row["block"]] = np.frombuffer(row["level"], dtype=np.uint8)
+        table = levels if row["block"] < BLOCKS else word_levels
+        table[row["block"] % BLOCKS] = np.frombuffer(row["level"], dtype=np.uint8)
 
     shaped = texts.mapInArrow(
-        _prefixes(k, percent, levels.reshape(-1), COLD_LEVEL),
-        "doc_id bigint, n int, digest binary, prefix array<bigint>, cold int, parts array<smallint>"
+        _prefixes(k, percent, levels.reshape(-1), word_levels.reshape(-1), COLD_LEVEL),
+        "doc_id bigint, n int, digest binary, prefix array<bigint>, places array<int>, indexed int, cold int, parts array<smallint>"
     )
     classes = pin(shaped.groupBy("digest").agg(  # equal sets have equal prefixes and parts
         F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_docs"), F.any_value("n").alias("n"),
-        F.any_value("prefix").alias("prefix"), F.any_value("cold").alias("cold"), F.any_value("parts").alias("parts"),
-    ).withColumns({"cls": F.monotonically_increasing_id(), "indexed": F.size("prefix")}))  # short names, fixed once written
+        F.any_value("prefix").alias("prefix"), F.any_value("places").alias("places"), F.any_value("indexed").alias("indexed"),
+        F.any_value("cold").alias("cold"), F.any_value("parts").alias("parts"),
+    ).withColumn("cls", F.monotonically_increasing_id()))  # short names, fixed once written
     links = _links(texts, classes, k, percent)
     labels = components(links).select(F.col("v").alias("cls"), "label")
     named = pin(classes.select("cls", "digest", "first_doc", "n_docs").join(labels, "cls", "left").drop("cls").withColumnRenamed("digest", "cls"))
@@ -265,7 +309,7 @@ def near_groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[Da
 
 def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified pairs (a, b) of classes that give the components of all links."""
-    index = classes.select("cls", "n", "cold", F.posexplode("prefix").alias("pos", "gram"))
+    index = classes.select("cls", "n", "cold", F.inline(F.arrays_zip(F.col("places").alias("pos"), F.col("prefix").alias("gram"))))
     cold, hot = index.filter("pos < cold").drop("cold"), index.filter("pos >= cold").drop("cold")
     counted = cold.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter("m > 1")
     shared = hot.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
