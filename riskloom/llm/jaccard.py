@@ -6,7 +6,7 @@ space); a shorter text is one run.  Two documents link when ``100 * |x & y| >= p
 1. Documents with equal sets form a class, known by a 128-bit digest; from here on one document
    stands for its class, so copies cost nothing.
 2. All n-grams get one order, rarest first: by an upper bound of their count, ties by hash.  The bound is
-   the smallest of their count in a table of 2**24 slots and of the counts of their words in one of 2**23, both
+   the smallest of their count in a table of 2**24 slots and of the counts of their words in one of 2**25, both
    summed over all documents (their size is fixed).  Each class is indexed under its prefix, the first
    ``n - ceil(percent * n / 100) + 1`` n-grams, without which no partner can have enough in common.  An n-gram
    whose bound is 1 is in no other document and does not enter the index.
@@ -43,7 +43,9 @@ from riskloom.runtime import pin
 
 K = 3
 PERCENT = 90
-SLOT_BITS, WORD_BITS = 24, 23
+SLOT_BITS, WORD_BITS = 24, 25
+#: counts of a task are kept up to this; a slot that reaches it counts as frequent
+MOST = 255
 #: the level of a count of 1
 ONCE = 6
 BLOCKS = 256
@@ -116,23 +118,28 @@ def _word_slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
+def _count(table: np.ndarray, slots: np.ndarray) -> None:
+    at, n = np.unique(slots, return_counts=True)
+    table[at] = np.minimum(table[at] + n, MOST)
+
+
 def _signed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((1 << SLOT_BITS) + (1 << WORD_BITS), dtype=np.int32)
+        counts = np.zeros((1 << SLOT_BITS) + (1 << WORD_BITS), dtype=np.uint8)
         by_gram, by_word = counts[: 1 << SLOT_BITS], counts[1 << SLOT_BITS:]
         for batch in batches:
             for part in words.slices(batch, "text"):
                 found = _words(part)
                 grams, ends, _ = _marked_sets(part, k, found=found)
-                np.add.at(by_gram, _slots(grams), np.int32(1))
-                np.add.at(by_word, _word_slots(found[0]), np.int32(1))
+                _count(by_gram, _slots(grams))
+                _count(by_word, _word_slots(found[0]))
                 rows = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(_digests(grams, ends), pa.binary()),
                      pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "n", "cls", "block", "counts"],
                 )
         if counts.any():
-            blocks = [zlib.compress(b.tobytes(), 1) for table in (by_gram, by_word) for b in table.reshape(BLOCKS, -1)]
+            blocks = [zlib.compress(b.tobytes(), 2) for table in (by_gram, by_word) for b in table.reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(2 * BLOCKS, pa.int64()), pa.nulls(2 * BLOCKS, pa.int64()), pa.nulls(2 * BLOCKS, pa.binary()),
                  pa.array(range(2 * BLOCKS), pa.int32()), pa.array(blocks, pa.binary())],
@@ -147,7 +154,8 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block, total = 0, np.zeros(1)
     for batch in batches:
         for b, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            block, total = b, total + np.frombuffer(zlib.decompress(counts), dtype=np.int32)
+            own = np.frombuffer(zlib.decompress(counts), dtype=np.uint8).astype(np.int64)
+            block, total = b, total + np.where(own == MOST, 1 << 21, own)
     level = np.minimum(255, np.round(6 * np.log2(1 + total))).astype(np.uint8)
     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
 
@@ -278,7 +286,7 @@ def near_groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[Da
     rows = signed.filter("block IS NULL").select("doc_id", "n", "cls")
     blocks = signed.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(
         _levels, "block int, level binary"
-    ).collect()  # 2**24 and 2**23 bytes, whatever the input
+    ).collect()  # 2**24 and 2**25 bytes, whatever the input
     levels = np.zeros((BLOCKS, (1 << SLOT_BITS) // BLOCKS), dtype=np.uint8)
     word_levels = np.zeros((BLOCKS, (1 << WORD_BITS) // BLOCKS), dtype=np.uint8)
     for row in blocks:
