@@ -6,7 +6,7 @@ space); a shorter text is one run.  Two documents link when ``100 * |x & y| >= p
 1. Documents with equal sets form a class, known by a 128-bit digest; from here on one document
    stands for its class, so copies cost nothing.
 2. All n-grams get one order, rarest first: by an upper bound of their count, ties by hash.  The bound is
-   the smallest of their count in a table of 2**24 slots and of the counts of their words in one of 2**25, both
+   the smallest of their count in a table of 2**26 slots and of the counts of their words in one of 2**23, both
    summed over all documents (their size is fixed).  Each class is indexed under its prefix, the first
    ``n - ceil(percent * n / 100) + 1`` n-grams, without which no partner can have enough in common.  An n-gram
    whose bound is 1 is in no other document and does not enter the index.
@@ -43,18 +43,20 @@ from riskloom.runtime import pin
 
 K = 3
 PERCENT = 90
-SLOT_BITS, WORD_BITS = 24, 25
+SLOT_BITS, WORD_BITS = 26, 23
 #: counts of a task are kept up to this; a slot that reaches it counts as frequent
 MOST = 255
-#: the level of a count of 1
-ONCE = 6
+#: levels of counts, half a binary order apart; the lowest is a count of 1, the highest one of 128 or more
+ONCE, TOP = 0, 14
 BLOCKS = 256
+#: bytes of text worked on at a time
+SLICE = 512 << 10
 #: parts of a set whose sizes the suffix filter compares
 PARTS = 32
 #: pairs from an n-gram of more classes pass the suffix filter in the join, others after it
 SMALL_GROUP = 32
-#: an n-gram whose slot was counted up to this level (about 2**20 times) is in a bounded group of rows
-COLD_LEVEL = 120
+#: an n-gram of a level up to this one is in a bounded group of rows
+COLD_LEVEL = TOP - 1
 #: bits of the map that tells which documents' sets are wanted; one bit set by chance costs only work
 MAP_BITS = 23
 
@@ -79,7 +81,7 @@ def _marked_sets(part: pa.RecordBatch, k: int, word_levels: np.ndarray | None =
     grams, of = words.shingles(hashes, owner, k)
     marks = None
     if word_levels is not None:
-        level = word_levels[_word_slots(hashes)]
+        level = _level_of(word_levels, _word_slots(hashes))
         marks = np.full(len(grams), 255, dtype=np.uint8)
         if len(hashes) >= k:
             lowest = np.minimum.reduce([level[j: len(level) - k + 1 + j] for j in range(k)])
@@ -128,7 +130,7 @@ def _signed(k: int):
         counts = np.zeros((1 << SLOT_BITS) + (1 << WORD_BITS), dtype=np.uint8)
         by_gram, by_word = counts[: 1 << SLOT_BITS], counts[1 << SLOT_BITS:]
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE):
                 found = _words(part)
                 grams, ends, _ = _marked_sets(part, k, found=found)
                 _count(by_gram, _slots(grams))
@@ -139,7 +141,7 @@ def _signed(k: int):
                      pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "n", "cls", "block", "counts"],
                 )
         if counts.any():
-            blocks = [zlib.compress(b.tobytes(), 2) for table in (by_gram, by_word) for b in table.reshape(BLOCKS, -1)]
+            blocks = [_packed(b) for table in (by_gram, by_word) for b in table.reshape(BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(2 * BLOCKS, pa.int64()), pa.nulls(2 * BLOCKS, pa.int64()), pa.nulls(2 * BLOCKS, pa.binary()),
                  pa.array(range(2 * BLOCKS), pa.int32()), pa.array(blocks, pa.binary())],
@@ -149,25 +151,43 @@ def _signed(k: int):
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Which slots were counted, and the counts of those."""
+    some = counts > 0
+    return zlib.compress(np.packbits(some).tobytes() + counts[some].tobytes(), 1)
+
+
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+    some = np.unpackbits(raw[: size // 8]).view(bool)
+    counts = np.zeros(size, dtype=np.int64)
+    counts[some] = np.where(raw[size // 8:] == MOST, 1 << 21, raw[size // 8:].astype(np.int64))
+    return counts
+
+
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a block of slots, summed and brought to a logarithmic scale of one byte."""
+    """Counts of a block of slots, summed and brought to a logarithmic scale of half a byte."""
     block, total = 0, np.zeros(1)
     for batch in batches:
         for b, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            own = np.frombuffer(zlib.decompress(counts), dtype=np.uint8).astype(np.int64)
-            block, total = b, total + np.where(own == MOST, 1 << 21, own)
-    level = np.minimum(255, np.round(6 * np.log2(1 + total))).astype(np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
+            block, total = b, total + _unpacked(counts, (1 << (SLOT_BITS if b < BLOCKS else WORD_BITS)) // BLOCKS)
+    level = np.minimum(TOP, np.floor(2 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(level[0::2] | level[1::2] << 4).tobytes()], pa.binary())], names=["block", "level"])
+
+
+def _level_of(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Levels of slots, two of which share a byte."""
+    return (table[slots >> 1] >> ((slots & 1) << 2).astype(np.uint8)) & 15
 
 
 def _prefixes(k: int, percent: int, levels: np.ndarray, word_levels: np.ndarray, cold_level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE):
                 grams, ends, marks = _marked_sets(part, k, word_levels)
                 sizes = np.diff(ends)
                 of = np.repeat(np.arange(part.num_rows), sizes)
-                level = np.minimum(levels[_slots(grams)], marks)
+                level = np.minimum(_level_of(levels, _slots(grams)), marks)
                 keep = np.where(sizes > 0, sizes - (-(-sizes * percent // 100)) + 1, 0)
                 rarest = [a + np.argsort(level[a:b], kind="stable")[:m] for a, b, m in zip(ends[:-1], ends[1:], keep, strict=True)]
                 rarest = np.concatenate(rarest)
@@ -196,7 +216,7 @@ def _whole_sets(k: int, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = batch.filter(pa.array(wanted[_bits(batch.column("doc_id"))]))
-            for part in words.slices(some, "text"):
+            for part in words.slices(some, "text", SLICE):
                 grams, ends = _sets(part, k)
                 rows = [
                     (doc, cls, grams[ends[i]: ends[i + 1]].tobytes())
@@ -286,9 +306,9 @@ def near_groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[Da
     rows = signed.filter("block IS NULL").select("doc_id", "n", "cls")
     blocks = signed.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(
         _levels, "block int, level binary"
-    ).collect()  # 2**24 and 2**25 bytes, whatever the input
-    levels = np.zeros((BLOCKS, (1 << SLOT_BITS) // BLOCKS), dtype=np.uint8)
-    word_levels = np.zeros((BLOCKS, (1 << WORD_BITS) // BLOCKS), dtype=np.uint8)
+    ).collect()  # half of 2**26 and 2**23 bytes, whatever the input
+    levels = np.zeros((BLOCKS, (1 << SLOT_BITS) // BLOCKS // 2), dtype=np.uint8)
+    word_levels = np.zeros((BLOCKS, (1 << WORD_BITS) // BLOCKS // 2), dtype=np.uint8)
     for row in blocks:
         table = levels if row["block"] < BLOCKS else word_levels
         table[row["block"] % BLOCKS] = np.frombuffer(row["level"], dtype=np.uint8)
@@ -369,7 +389,7 @@ def _sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) ->
     bits = np.unpackbits(packed.reshape(-1)).view(bool)
     found = texts.mapInArrow(_whole_sets(k, bits), "doc_id bigint, of binary, members binary")
     exact = found.join(wanted, (found["of"] == wanted["digest"]) & found["doc_id"].eqNullSafe(wanted["first_doc"]))
-    return pin(exact.select("cls", "members").dropDuplicates(["cls"]))
+    return exact.select("cls", "members").dropDuplicates(["cls"])  # dealt by class, as the joins that follow need it
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -390,7 +410,7 @@ def near_report(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFram
 def _tagged(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE):
                 grams, ends = _sets(part, k)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(_digests(grams, ends), pa.binary())], names=[*part.schema.names, "__cls"]

@@ -93,7 +93,7 @@ def test_jaccard(spark, texts):
 
 def test_jaccard_is_the_same_with_frequent_grams(spark, monkeypatch):
     want = sorted(rows(spark, "op4_ngram_jaccard"), key=str)
-    for level in (-1, 12):  # all n-grams, then those counted more than about three times
+    for level in (-1, 3):  # all n-grams, then those counted more than about three times
         monkeypatch.setattr(jaccard, "COLD_LEVEL", level)
         assert sorted(rows(spark, "op4_ngram_jaccard"), key=str) == want
 
