@@ -172,7 +172,11 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             block, total = b, total + _unpacked(counts, (1 << (SLOT_BITS if b < BLOCKS else WORD_BITS)) // BLOCKS)
     level = np.minimum(TOP, np.floor(2 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(level[0::2] | level[1::2] << 4).tobytes()], pa.binary())], names=["block", "level"])
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress((level[0::2] | level[1::2] << 4).tobytes(), 1)], pa.binary())], names=["block", "level"])
+
+
+def _table(blocks: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(zlib.decompress(b), dtype=np.uint8) for b in blocks])
 
 
 def _level_of(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -180,8 +184,10 @@ def _level_of(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (table[slots >> 1] >> ((slots & 1) << 2).astype(np.uint8)) & 15
 
 
-def _prefixes(k: int, percent: int, levels: np.ndarray, word_levels: np.ndarray, cold_level: int):
+def _prefixes(k: int, percent: int, packed: list[bytes], cold_level: int):
+    """``packed``: the levels of all blocks of n-gram slots, then those of word slots, as the driver keeps them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, word_levels = _table(packed[:BLOCKS]), _table(packed[BLOCKS:])
         for batch in batches:
             for part in words.slices(batch, "text", SLICE):
                 grams, ends, marks = _marked_sets(part, k, word_levels)
@@ -306,15 +312,15 @@ def near_groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[Da
     rows = signed.filter("block IS NULL").select("doc_id", "n", "cls")
     blocks = signed.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(
         _levels, "block int, level binary"
-    ).collect()  # half of 2**26 and 2**23 bytes, whatever the input
-    levels = np.zeros((BLOCKS, (1 << SLOT_BITS) // BLOCKS // 2), dtype=np.uint8)
-    word_levels = np.zeros((BLOCKS, (1 << WORD_BITS) // BLOCKS // 2), dtype=np.uint8)
+    ).collect()  # at most half of 2**26 and 2**23 bytes, whatever the input
+    none = [zlib.compress(bytes((1 << bits) // BLOCKS // 2), 1) for bits in (SLOT_BITS, WORD_BITS)]
+    packed = [none[0]] * BLOCKS + [none[1]] * BLOCKS
     for row in blocks:
-        table = levels if row["block"] < BLOCKS else word_levels
-        table[row["block"] % BLOCKS] = np.frombuffer(row["level"], dtype=np.uint8)
+        packed[row["block"]] = bytes(row["level"])
+    del blocks
 
     shaped = texts.mapInArrow(
-        _prefixes(k, percent, levels.reshape(-1), word_levels.reshape(-1), COLD_LEVEL),
+        _prefixes(k, percent, packed, COLD_LEVEL),
         "doc_id bigint, n int, digest binary, prefix array<bigint>, places array<int>, indexed int, cold int, parts array<smallint>"
     )
     classes = pin(shaped.groupBy("digest").agg(  # equal sets have equal prefixes and parts
