@@ -8,7 +8,7 @@ from registry.cleaning import long_sql, psi_ctes
 from registry.common import APP, ITEMS, labelled_documents, panel, quantile_sql, quantiles_sql, query, rounded, rounded_sql, scored_items
 from registry.metrics import RATES, cells_sql, items_sql, point_ctes
 from riskloom import vocab as v
-from riskloom.operators import classifier, drift, ranking
+from riskloom.operators import classifier, drift, profiles, ranking
 from riskloom.plans.monitoring import drift_report, monitoring_run, report_json
 from riskloom.runtime import pin, scratch_path
 from riskloom.sources.files import append_report, latest_report
@@ -277,3 +277,23 @@ def _(spark, folder):
     items = scored_items(spark, folder).withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
     reference = items.where(F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp_ntz"))
     return rounded(drift.indices_by(reference, items, ["l_quantity", "l_extendedprice"], ["month"]))
+
+
+@query("csi_from_stored_profile", f"WITH {APP}, {PANEL_PSI} SELECT feature, round(psi,6) AS csi FROM psi")
+def _(spark, folder):
+    reference, production = sides(spark, folder)
+    path = scratch_path(spark, "profile")
+    profiles.save_profile(profiles.exact_profile(reference, PANEL_FEATURES), path)
+    rows = profiles.index_from_profile(profiles.load_profile(spark, path), production, PANEL_FEATURES)
+    return rounded(rows.select("feature", F.col("psi").alias("csi")))
+
+
+@query("csi_from_merged_sketches")
+def _(spark, folder):
+    """Order lines of each month sketched on their own, the months up to 1995 merged, the later ones compared."""
+    items = scored_items(spark, folder).withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    path = scratch_path(spark, "sketches")
+    profiles.save_profile(profiles.sketch_profile(items, ITEM_FEATURES, ["month"]), path, ["month"])
+    kept = profiles.load_profile(spark, path).where("month < '1996'")
+    later = items.where("month >= '1996'")
+    return rounded(profiles.index_from_profile(profiles.binned(profiles.merged(kept)), later, ITEM_FEATURES))

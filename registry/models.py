@@ -10,7 +10,7 @@ from riskloom.functions.features import with_features
 from riskloom.operators import attribution
 from riskloom.operators.classifier import ranking_metrics
 from riskloom.operators.splits import stratified_split
-from riskloom.plans import scoring, training
+from riskloom.plans import calibrated, scoring, training
 from riskloom.runtime import pin, scratch_path
 from riskloom.sources.runs import append_run, run_row
 
@@ -42,13 +42,13 @@ def _(spark, folder):
 
 @query("train_logistic_regression")
 def _(spark, folder):
-    return metric_rows(trained(spark, folder, "logistic_regression", "none", maxIter=50))
+    return metric_rows(trained(spark, folder, "logistic_regression", "none"))
 
 
 @query("balanced_logistic_regression")
 def _(spark, folder):
     rows = pin(featured(spark, folder))
-    model = training.fit_model(rows, "logistic_regression", training.plain_features(), balanced=True, scale=True, maxIter=50)
+    model = training.fit_model(rows, "logistic_regression", training.plain_features(), balanced=True, scale=True)
     return ranking_metrics(training.scored(model, rows))
 
 
@@ -67,17 +67,17 @@ def _(spark, folder):
 
 @query("cross_calibrated_scores")
 def _(spark, folder):
-    parts = pin(stratified_split(featured(spark, folder, INPUTS)))
+    parts = pin(stratified_split(featured(spark, folder)))
     train, test = parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split")
     return training.cross_calibrated_scores(
-        train, test, "logistic_regression", "isotonic", training.plain_features(INPUTS)
+        train, test, "logistic_regression", "isotonic", training.plain_features()
     ).select("ID", "score")
 
 
 @query("cross_validation")
 def _(spark, folder):
-    rows = pin(featured(spark, folder, INPUTS))
-    folds = training.cross_validate(rows, "logistic_regression", training.plain_features(INPUTS), balanced=True, scale=True, maxIter=20)
+    rows = pin(featured(spark, folder))
+    folds = training.cross_validate(rows, "logistic_regression", training.plain_features(), balanced=True, scale=True)
     return training.fold_summary(folds)
 
 
@@ -87,6 +87,23 @@ def _(spark, folder):
     return training.search(rows, training.plain_features(INPUTS))
 
 
+@query("saved_calibrated_model")
+def _(spark, folder):
+    """Trained, calibrated and given a threshold; saved, loaded, and applied to all rows."""
+    path = scratch_path(spark, "calibrated")
+    training.save_model(calibrated.calibrated_model(trained(spark, folder, "logistic_regression", "isotonic")), path)
+    return calibrated.decided(training.load_model(spark, path), featured(spark, folder))
+
+
+@query("recorded_training_run")
+def _(spark, folder):
+    """The run that training appends, as the record of its model."""
+    path = scratch_path(spark, "training-runs")
+    result = trained(spark, folder, "logistic_regression", "sigmoid", runs=path)
+    run = spark.read.parquet(path).first()
+    return training.model_record(result["scored"], len(v.MODEL_FEATURES), run["params"], metrics=run["metrics"])
+
+
 @query("feature_importance")
 def _(spark, folder):
     rows = pin(featured(spark, folder))

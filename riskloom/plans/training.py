@@ -21,6 +21,7 @@ from riskloom.operators.splits import stratified_folds, three_way_split, with_cl
 from riskloom.operators.sweep import COSTS, cost_optimal_threshold
 from riskloom.runtime import pin
 from riskloom.sources.files import _exists
+from riskloom.sources.runs import append_run, run_row
 
 WEIGHT = "_weight"
 
@@ -147,12 +148,14 @@ def plain_features(features: Sequence[str] = tuple(v.MODEL_FEATURES)) -> list[st
 
 def train(
     df: DataFrame, kind: str = "gradient_boosting", calibration: str = "isotonic", costs: dict | None = None,
-    features: Sequence[str] = tuple(v.MODEL_FEATURES), seed: int = 42, **settings,
+    features: Sequence[str] = tuple(v.MODEL_FEATURES), seed: int = 42, runs: str | None = None, experiment: str = "training",
+    **settings,
 ) -> dict:
     """Split 64/16/20, fit, calibrate on validation, choose the threshold there, measure all splits.
 
     Returns the model, the calibrator, the threshold, and the scored and metric tables.  Every
-    metric of every split comes from one scored table.
+    metric of every split comes from one scored table.  With ``runs`` the run is appended to that table:
+    its parameters, threshold and named metrics.
     """
     costs = costs or COSTS
     names = plain_features(features)
@@ -168,6 +171,11 @@ def train(
     table = pin(final.select(v.KEY, v.TARGET, "split", "raw_score", "score"))
     threshold = cost_optimal_threshold(table.where("split = 'validation'"), costs).first()["optimal_threshold"]
     metrics = credit_metrics(table, [0.5, threshold], by=["split"])
+    if runs:
+        metrics = pin(metrics)
+        named = {r["metric"]: r["value"] for r in named_credit_metrics(metrics, threshold).collect() if r["value"] is not None}
+        params = {"model_type": kind, "calibration": calibration, "seed": seed, "n_features": len(names), **costs, **settings}
+        append_run(run_row(df.sparkSession, experiment, kind, params, {**named, "threshold": threshold}, {"model_type": kind}), runs)
     return {
         "model": model, "calibrator": calibrator, "threshold": threshold, "scored": table,
         "metrics": metrics, "business": business_metrics(metrics.where(F.col("threshold") == F.lit(threshold)), **costs),
@@ -273,15 +281,18 @@ def load_model(spark: SparkSession, path: str) -> PipelineModel:
 
 
 def model_record(
-    scored_table: DataFrame, features: int, params: dict, version: str = "1.0.0", split: str = "split"
+    scored_table: DataFrame, features: int, params: dict, version: str = "1.0.0", split: str = "split", metrics: dict | None = None,
 ) -> DataFrame:
-    """One JSON record: feature count, rows and target share per split, parameters, version."""
+    """One JSON record: feature count, rows and target share per split, parameters, version, and the metrics if given."""
     shares = scored_table.groupBy(split).agg(
         F.count(F.lit(1)).alias("rows"), F.avg(F.col(v.TARGET).cast("double")).alias("target_share")
     )
     entries = F.array_sort(F.collect_list(F.struct(split, "rows", "target_share")))  # one per split
     literal = F.create_map(*[F.lit(x) for k, value in sorted(params.items()) for x in (k, str(value))]) if params \
         else F.create_map().cast("map<string,string>")
-    body = F.struct(F.lit(features).alias("n_features"), F.col("splits"), literal.alias("params"), F.lit(version).alias("version"))
+    fields = [F.lit(features).alias("n_features"), F.col("splits"), literal.alias("params"), F.lit(version).alias("version")]
+    if metrics:
+        fields.append(F.create_map(*[F.lit(x) for k, value in sorted(metrics.items()) for x in (k, float(value))]).alias("metrics"))
+    body = F.struct(*fields)
     return shares.agg(entries.alias("splits")).select(F.to_json(body).alias("record"))
 
