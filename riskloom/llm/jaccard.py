@@ -307,6 +307,11 @@ def _filtered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, k: int = K, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, cls) and classes (cls, component_id, keep_cls, n_docs)."""
+    with words.small_batches(docs.sparkSession):
+        return _near_groups(docs, k, percent)
+
+
+def _near_groups(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = pin(texts.mapInArrow(_signed(k), "doc_id bigint, n bigint, cls binary, block int, counts binary"))
     rows = signed.filter("block IS NULL").select("doc_id", "n", "cls")

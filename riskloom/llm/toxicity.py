@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.llm.words import slices
+from riskloom.llm.words import slices, small_batches
 from riskloom.runtime import pin
 
 BITS = 20
@@ -131,6 +131,14 @@ def fit(
     least_docs: int = LEAST_DOCS, least_ratio: float = LEAST_RATIO, smoothing: float = SMOOTHING, penalty: float = PENALTY,
 ) -> Model:
     """The classifier; what the driver gathers is two counts and one weight per slot."""
+    with small_batches(docs.sparkSession):
+        return _fit(docs, labels, most_rows, grams, bits, least_docs, least_ratio, smoothing, penalty)
+
+
+def _fit(
+    docs: DataFrame, labels: DataFrame, most_rows: int, grams: tuple[int, ...], bits: int, least_docs: int, least_ratio: float,
+    smoothing: float, penalty: float,
+) -> Model:
     sample = training_sample(docs, labels, most_rows)
     summed = sample.mapInArrow(_counts(bits, grams), "block int, counts binary, n_rows bigint").groupBy("block").applyInArrow(
         _add_blocks, "block int, counts binary, n_rows bigint"

@@ -7,9 +7,11 @@ since all separators used here are ASCII, byte runs and code point runs are the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: bytes of text worked on at a time; one longer text is worked on alone
 SLICE_BYTES = 2 << 20
@@ -28,12 +30,24 @@ def _power_table(name: str, base: np.uint64, size: int) -> np.ndarray:
     """base**0, base**1, ... modulo 2**64, kept for the next slice."""
     have = _powers.get(name)
     if have is None or len(have) < size:
-        steps = np.full(max(size, SLICE_BYTES + 1), base, dtype=np.uint64)
+        steps = np.full(max(1 << 16, 1 << (size - 1).bit_length()), base, dtype=np.uint64)
         steps[0] = 1
         have = _powers[name] = np.multiply.accumulate(steps)
     return have
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Jobs run inside hand texts to Python workers in batches of at most so many rows, so both sides hold less of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))
