@@ -1,7 +1,8 @@
 """Quality rules that clean a text line by line before judging it as a whole.
 
-Every line with a word is held against rules on punctuation, navigation and boilerplate; lines
-that fail are removed, and a document that loses too much of its text is rejected.  Apart from
+Every line with a word is held against rules on punctuation, navigation and boilerplate.  Phrases,
+tags and menu marks count against the length of the line: one in every HIT_WORDS words fails it, so a
+short line goes for one of them while a long paragraph that mentions one stays.  Lines that fail are removed, and a document that loses too much of its text is rejected.  Apart from
 that a text fails the base rules if it has fewer than LEAST_WORDS words or if more than
 MOST_REPEATED of its words stand in 3-word windows found twice or more.
 
@@ -27,6 +28,7 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50  # percent of words
 MOST_LOST = 30  # percent of the characters in lines with a word
 WINDOW = 3
+HIT_WORDS = 25  # words of a line for each phrase, tag or mark it may hold
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -41,16 +43,17 @@ BOILERPLATE = re.compile(
 )
 NAVIGATION = re.compile(r"\s(?:\||»|›|·|•|>|/)\s")
 _SENTENCE_ENDS = tuple(".!?:;…。！？\"'”’)]")
-_MARKUP = re.compile(r"[{}]|</?[a-z][^>]*>|&[a-z]+;")
+_MARKUP = re.compile(r"[{}]|</?[a-z][^<>]*>|&[a-z]+;")
 _WORDISH = re.compile(r"[^\W\d_]")
 
 
 def line_fails(line: str) -> bool:
     """Whether a line with a word is page furniture or noise rather than text."""
     body = line.strip(_BLANK)
-    if BOILERPLATE.search(body) or _MARKUP.search(body):
+    room = (body.count(" ") + 1) // HIT_WORDS
+    if sum(1 for rule in (BOILERPLATE, _MARKUP) for _ in rule.finditer(body)) > room:
         return True
-    if len(NAVIGATION.findall(body)) >= 2:
+    if len(NAVIGATION.findall(body)) > 1 + room:
         return True
     letters = len(_WORDISH.findall(body))
     if 2 * letters < len(body):  # figures, rules and marks
