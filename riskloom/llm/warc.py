@@ -1,7 +1,7 @@
 """WARC archives: writing pages as records, and reading them with segments put together.
 
 Every page becomes a record.  Of pages with equal payloads of at least LEAST_SHARED bytes the one
-with the smallest id is a response, the others are revisits that refer to it and hold no payload.
+with the smallest id (null ids last) is a response, the others are revisits that refer to it and hold no payload.
 A response's body longer than CHUNK bytes is framed by chunked transfer encoding, and a block
 longer than SEGMENT bytes is cut: the first part stays in the record, the others are
 continuation records that name their origin and their number, the last one the total length.
@@ -13,7 +13,7 @@ them by number, verifies the total length, decodes the transfer framing, and loo
 revisits refer to.
 
 Defined results: a null html is an empty payload; a null page id is written as 'none' and read
-as null; rows that repeat a page id are records of their own, and among equal ones the first row
+as null, and is a response only where no equal payload has an id; rows that repeat a page id are records of their own, and among equal ones the first row
 is the response; control characters in a URL are percent-encoded; other columns are ignored; an
 empty table gives an empty result.  A block whose segments are incomplete or whose length is not
 the stated one raises an error.
@@ -127,7 +127,8 @@ def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK, segment: int
     )
     keys = pin(plain.select("page_id", "row", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("size")))
     large = keys.filter(F.col("size") >= LEAST_SHARED)
-    shared = large.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page_id", "row")).alias("first")).filter("n > 1")
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row")
+    shared = large.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter("n > 1")
     later = lookup(large, pin(shared), ["digest"], "n").filter(F.col("row") != F.col("first.row")).select(
         "row", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row")
     )
@@ -250,8 +251,9 @@ def archive_report(pages: DataFrame) -> DataFrame:
 
 SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+f AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first FROM p
+  WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST))
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
-  CASE WHEN n >= {LEAST_SHARED} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= {LEAST_SHARED} AND page_id <> first THEN first END AS refers_to FROM f
+  CASE WHEN n >= {LEAST_SHARED} AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= {LEAST_SHARED} AND place > 1 THEN first END AS refers_to FROM f
 """

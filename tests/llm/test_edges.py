@@ -79,6 +79,39 @@ def test_pages(spark):
     assert warc.archive_report(pages.limit(0)).count() == 0
 
 
+def test_pages_without_ids(spark):
+    """A page without an id is a response only where no equal payload has an id; the SQL says the same."""
+    import duckdb
+
+    shared, lonely = "p" * 200, "q" * 200
+    given = [(None, shared), (6, shared), (5, shared), (5, shared), (None, lonely), (None, lonely), (7, "r" * 99), (8, "r" * 99), (9, None)]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in given], "page_id bigint, url string, html string")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    got = sorted(map(repr, (tuple(r) for r in warc.archive_report(pages).select(names).collect())))
+    base = duckdb.connect()
+    base.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    base.executemany("INSERT INTO pages VALUES (?, ?)", given)
+    assert got == sorted(map(repr, base.execute(f"SELECT {', '.join(names)} FROM ({warc.SQL})").fetchall()))
+    large = [eval(g) for g in got if "200" in g]
+    assert [g[0] for g in large if g[3] == "response" and g[0] is not None] == [5]
+    assert sorted(g[4] for g in large if g[3] == "revisit" and g[4] is not None) == [5, 5, 5]
+
+
+def test_one_phrase_in_a_long_line(spark):
+    """Furniture is judged by its share of a line: one phrase fails a short line, not a long paragraph."""
+    prose = " ".join(f"word{i} stands beside other{i} things" for i in range(400)) + "."
+    phrase = "click here"
+    given = [
+        (1, prose), (2, f"{prose[:-1]} {phrase} and more."), (3, f"{prose}\n{phrase}"), (4, f"{phrase} to read more about it now. " * 60),
+        (5, "\n".join([f"{phrase} number {i} of them." for i in range(60)])), (6, f"{prose} a < b <i <i <i" + " <a" * 3),
+    ]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string")
+    kept = {r["doc_id"]: r["kept"] for r in lines.quality_report(docs).collect()}
+    assert kept == {1: True, 2: True, 3: True, 4: False, 5: False, 6: True}
+    cleaned = {r["doc_id"]: r["text"] for r in lines.clean(docs).collect()}
+    assert cleaned[3] == prose and cleaned[2] == given[1][1]
+
+
 def test_segments_and_framing():
     body = bytes(range(256)) * 100
     assert warc.unchunked(warc.chunked(body, 77)) == body and warc.unchunked(warc.chunked(b"")) == b""
