@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from registry.cleaning import long_sql, psi_ctes
@@ -12,6 +14,7 @@ from registry.metrics import RATES, cells_sql, point_ctes
 from riskloom.functions.decisions import with_decisions, with_online_response
 from riskloom.operators import alerting, drift, operations
 from riskloom.operators.classifier import classification_metrics, to_long
+from riskloom.runtime import scratch_path
 
 ALERTS_SQL = """al AS (SELECT event_id AS alert_id, ts, CAST(user_id AS VARCHAR) AS key,
   CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'warning' WHEN 'view' THEN 'info' ELSE 'error' END AS severity FROM events)"""
@@ -219,6 +222,15 @@ def _(spark, folder):
     return plain_time(kept.select("ts"))
 
 
+@query("audit_expiry", f"WITH {APP}, {AUDIT} SELECT ts, count(*) AS n FROM au WHERE ts>=TIMESTAMP '2022-01-01' GROUP BY ts")
+def _(spark, folder):
+    """The stored log, one folder per day, after the days past the retention period were removed."""
+    path = scratch_path(spark, "audit")
+    operations.save_audit(audited(spark, folder), path)
+    operations.expire_audit(spark, path, datetime(2024, 1, 1))
+    return plain_time(operations.read_audit_log(spark, path).groupBy("ts").agg(F.count(F.lit(1)).alias("n")))
+
+
 @query("order_line_drift_alerts", f"""WITH {item_psi(ITEM_FEATURES)} SELECT feature, round(psi,6) AS csi,
     CASE WHEN psi<0.1e0 THEN 'OK' WHEN psi<0.25e0 THEN 'WARNING' ELSE 'CRITICAL' END AS status FROM psi""")
 def _(spark, folder):

@@ -106,7 +106,7 @@ SUMMARY_SELECT = f"""count(*) AS total_predictions, avg(default_probability) AS
 def _(spark, folder):
     path = scratch_path(spark, "predictions")
     predictions = with_decisions(panel(spark, folder))
-    files.save_predictions(predictions, path, summaries.prediction_summary(predictions))
+    files.save_predictions(predictions, path, summaries.prediction_summary)
     return rounded(spark.read.parquet(f"{path}_summary"), 4)
 
 
@@ -379,7 +379,8 @@ def _(spark, folder):
     return cleaning.drop_targets(app)
 
 
-WINSORIZED = ["BILL_AMT1", "PAY_AMT1"]
+AMOUNTS = ["LIMIT_BAL", "AGE", *[f"BILL_AMT{i}" for i in range(1, 7)], *[f"PAY_AMT{i}" for i in range(1, 7)]]
+WINSORIZED = AMOUNTS
 
 
 @query(
@@ -396,13 +397,12 @@ def _(spark, folder):
 @query(
     "standard_scale",
     rounded_sql(
-        ["LIMIT_BAL", "BILL_AMT1"],
-        "SELECT ID, (LIMIT_BAL-avg(LIMIT_BAL) OVER ())/stddev_pop(LIMIT_BAL) OVER () AS LIMIT_BAL, "
-        "(BILL_AMT1-avg(BILL_AMT1) OVER ())/stddev_pop(BILL_AMT1) OVER () AS BILL_AMT1 FROM app",
+        AMOUNTS,
+        "SELECT ID, " + ", ".join(f"({c}-avg({c}) OVER ())/stddev_pop({c}) OVER () AS {c}" for c in AMOUNTS) + " FROM app",
     ),
 )
 def _(spark, folder):
-    return rounded(cleaning.standard_scale(panel(spark, folder), ["LIMIT_BAL", "BILL_AMT1"]).select("ID", "LIMIT_BAL", "BILL_AMT1"))
+    return rounded(cleaning.standard_scale(panel(spark, folder), AMOUNTS).select("ID", *AMOUNTS))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.cleaning import PREDICTIONS
+from registry.cleaning import AMOUNTS, PREDICTIONS
 from registry.common import (
     APP, DOCS, ITEMS, labelled_documents, number, numbers, panel, quantiles_sql, query, rounded, rounded_sql,
     scored_items, table,
@@ -457,6 +457,18 @@ def _(spark, folder):
     return rounded(summaries.histograms(table(spark, folder, "lineitem"), BINNED))
 
 
+@query("histograms_30_clients", f"""WITH {APP}, x AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM app" for c in AMOUNTS)}),
+    m AS (SELECT feature, min(value) AS start, (max(value)-min(value))/30 AS width FROM x GROUP BY feature),
+    g AS (SELECT feature, start, width, value, CAST(least(floor((value-start)/width),29) AS INT) AS guess FROM x JOIN m USING (feature)),
+    b AS (SELECT feature, CASE WHEN value<start+guess*width THEN guess-1 WHEN guess<29 AND value>=start+(guess+1)*width THEN guess+1 ELSE guess END AS bin,
+      count(*) AS n FROM g GROUP BY ALL),
+    s AS (SELECT feature, start, width, CAST(r.range AS INT) AS bin FROM m, range(30) r)
+    SELECT s.feature, s.bin, round(start+s.bin*width,6) AS low, round(start+(s.bin+1)*width,6) AS high, CAST(coalesce(n,0) AS BIGINT) AS n
+    FROM s LEFT JOIN b ON b.feature=s.feature AND b.bin=s.bin""")
+def _(spark, folder):
+    return rounded(summaries.histograms(panel(spark, folder), AMOUNTS))
+
+
 CORRELATED = ["LIMIT_BAL", "AGE", "PAY_0", "BILL_AMT1", "BILL_AMT2", "PAY_AMT1", "default_flag"]
 
 

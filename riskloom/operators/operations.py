@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.ordered import quantiles
 
+#: column of an audit log that names the folder of a day
+DAY = "audit_day"
 
 def request_counts(requests: DataFrame, by: Sequence[str] = ("method", "endpoint", "status")) -> DataFrame:
     return requests.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"))
@@ -90,3 +93,48 @@ def read_audit(records: DataFrame, schema: str) -> DataFrame:
 def retained(records: DataFrame, now: Column, ts: str = "ts", years: int = 2) -> DataFrame:
     """Records inside the retention period."""
     return records.where(F.col(ts) >= F.add_months(now, -12 * years))
+
+
+def save_audit(records: DataFrame, path: str, ts: str = "ts", replace: bool = False) -> None:
+    """Write audit records below ``path``, one folder per day.
+
+    Rows are rebalanced by day, so a quiet day is one file and a busy one is split over tasks.  With
+    ``replace`` the days that occur in ``records`` are written anew and all others stay, so a batch
+    can be repeated; else rows are appended.
+    """
+    days = records.withColumn(DAY, F.to_date(ts)).hint("rebalance", DAY)
+    mode = "overwrite" if replace else "append"
+    days.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
+
+
+def read_audit_log(spark: SparkSession, path: str, since: date | None = None, until: date | None = None) -> DataFrame:
+    """Stored audit records from day ``since`` up to, not including, ``until``; other folders are not read."""
+    rows = spark.read.parquet(path)
+    if since is not None:
+        rows = rows.where(F.col(DAY) >= F.lit(since))
+    if until is not None:
+        rows = rows.where(F.col(DAY) < F.lit(until))
+    return rows
+
+
+def expire_audit(spark: SparkSession, path: str, now: datetime, years: int = 2) -> list[date]:
+    """Remove the day folders of an audit log that are past the retention period; the days removed, in order.
+
+    What stays is what ``retained`` keeps, which cuts at whole days too.  No record is read, folders
+    without a day are left alone, and a run that was cut short can be repeated.
+    """
+    first = spark.range(1).select(F.add_months(F.lit(now), -12 * years)).first()[0]
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for entry in system.listStatus(root):  # one entry per day
+        name, _, value = entry.getPath().getName().partition("=")
+        if not entry.isDirectory() or name != DAY:
+            continue
+        try:
+            day = date.fromisoformat(value)
+        except ValueError:  # records without a time
+            continue
+        if day < first and system.delete(entry.getPath(), True):
+            gone.append(day)
+    return sorted(gone)

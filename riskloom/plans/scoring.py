@@ -14,6 +14,7 @@ from riskloom.functions.features import align, with_features
 from riskloom.operators.cleaning import drop_targets
 from riskloom.operators.summaries import prediction_summary
 from riskloom.plans.training import Calibrator, plain_features, scored
+from riskloom.sources.files import save_predictions
 
 
 def model_inputs(df: DataFrame, features: Sequence[str] = tuple(v.MODEL_FEATURES), variant: str | None = None) -> DataFrame:
@@ -46,9 +47,5 @@ def score_batch(
 
 def score_and_save(model: PipelineModel, df: DataFrame, path: str, **options) -> DataFrame:
     """Write the predictions, then summarise what was written."""
-    score_batch(model, df, **options).write.mode("overwrite").parquet(path)
-    written = df.sparkSession.read.parquet(path)
-    prediction_summary(written).write.mode("overwrite").parquet(f"{path.rstrip('/')}_summary")
-    return written
-
-
+    save_predictions(score_batch(model, df, **options), path, prediction_summary)
+    return df.sparkSession.read.parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
@@ -14,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from riskloom import vocab as v
 from riskloom.operators.classifier import business_metrics, classification_metrics, to_long
@@ -197,20 +199,29 @@ def named_credit_metrics(metrics: DataFrame, optimal: float, split: str = "split
     return to_long(metrics, CREDIT_METRICS, prefix=F.concat(short, infix)).select("metric", "value")
 
 
-def cross_validate(
-    df: DataFrame, kind: str, features: Sequence[str], k: int = 5, seed: int = 42, balanced: bool = False,
-    scale: bool = False, threshold: float = 0.5, **settings,
+def _fold_metrics(
+    folded: DataFrame, kind: str, features: Sequence[str], seed: int, balanced: bool = False, scale: bool = False,
+    threshold: float = 0.5, **settings,
 ) -> DataFrame:
-    """Rows (fold, auc_roc, recall, precision) over stratified folds."""
-    folded = pin(stratified_folds(df, k, seed=seed))
+    """Rows (fold, auc_roc, recall, precision) of models that each leave one value of ``fold`` out."""
+    folds = sorted(r[0] for r in folded.select("fold").distinct().collect())  # the k folds
     parts = []
-    for i in range(k):
+    for i in folds:
         model = fit_model(folded.where(F.col("fold") != i), kind, features, balanced, scale, seed, **settings)
         parts.append(scored(model, folded.where(F.col("fold") == i)).select("fold", v.TARGET, "score"))
     table = reduce(DataFrame.unionByName, parts)
     return classification_metrics(table, [threshold], by=["fold"]).select("fold", "auc_roc", "recall", "precision")
 
 
+def cross_validate(
+    df: DataFrame, kind: str, features: Sequence[str], k: int = 5, seed: int = 42, balanced: bool = False,
+    scale: bool = False, threshold: float = 0.5, **settings,
+) -> DataFrame:
+    """Rows (fold, auc_roc, recall, precision) over stratified folds."""
+    folded = pin(stratified_folds(df, k, seed=seed))
+    return _fold_metrics(folded, kind, features, seed, balanced, scale, threshold, **settings)
+
+
 def fold_summary(per_fold: DataFrame, metrics: Sequence[str] = ("auc_roc", "recall", "precision")) -> DataFrame:
     """Rows (metric, mean, std) with the population deviation."""
     return to_long(per_fold, metrics).groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
@@ -249,16 +260,32 @@ def sample_settings(trials: int, seed: int = 42, space: Sequence[tuple] = tuple(
 
 def search(
     df: DataFrame, features: Sequence[str], trials: int = 50, k: int = 5, seed: int = 42,
-    space: Sequence[tuple] = tuple(SEARCH_SPACE), **fixed,
+    space: Sequence[tuple] = tuple(SEARCH_SPACE), parallelism: int = 4, **fixed,
 ) -> DataFrame:
-    """Rows (trial, params, cv_auc), best first."""
-    rows = []
-    for trial, params in enumerate(sample_settings(trials, seed, space)):
+    """Rows (trial, params, cv_auc), best first.
+
+    Folds are cut once and stored; ``parallelism`` trials run at a time, each a series of Spark jobs,
+    so the small jobs of one model fill the cores that those of another leave idle.  Scores do not
+    depend on ``parallelism``, and the first trial to fail ends the search.
+    """
+    spark = df.sparkSession
+    folded = pin(stratified_folds(df, k, seed=seed))
+    drawn = sample_settings(trials, seed, space)
+
+    @inheritable_thread_target(spark)
+    def auc(params: dict) -> float:
         settings = {SETTING_NAMES[n]: str(x) if n == "feature_fraction" else x for n, x in params.items()}
-        folds = cross_validate(df, "gradient_boosting", features, k, seed, **{**settings, **fixed})
-        auc = folds.agg(F.avg("auc_roc")).first()[0]
-        rows.append((trial, {n: str(x) for n, x in params.items()}, float(auc)))
-    table = df.sparkSession.createDataFrame(rows, "trial int, params map<string,string>, cv_auc double")
+        folds = _fold_metrics(folded, "gradient_boosting", features, seed, **{**settings, **fixed})
+        return float(folds.agg(F.avg("auc_roc")).first()[0])
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        running = [pool.submit(auc, params) for params in drawn]
+        done, _ = wait(running, return_when=FIRST_EXCEPTION)
+        if any(f.exception() for f in done):
+            pool.shutdown(cancel_futures=True)
+        scores = [f.result() for f in running if not f.cancelled()]
+    rows = [(i, {n: str(x) for n, x in params.items()}, s) for i, (params, s) in enumerate(zip(drawn, scores, strict=True))]
+    table = spark.createDataFrame(rows, "trial int, params map<string,string>, cv_auc double")
     return table.orderBy(F.desc("cv_auc"), "trial")
 
 

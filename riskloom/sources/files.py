@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,7 +97,9 @@ def save_split(df: DataFrame, path: str, split: str = "split", mode: str = "over
 def parquet_to_csv(spark: SparkSession, tables: dict[str, str], target: str) -> DataFrame:
     """Convert several Parquet tables to CSV; rows (table, status, n_rows, n_columns).
 
-    Absent tables are skipped and reported.  Row counts come from the written copies' source.
+    Absent tables are skipped and reported.  Values are read once: rows are counted
+    by the footers of the source.  (An ``Observation`` would count on the way, but in Spark 4.1 a session
+    that has made one can no longer serialise fitted models.)
     """
     report = []
     for name, path in tables.items():
@@ -113,11 +115,18 @@ def parquet_to_csv(spark: SparkSession, tables: dict[str, str], target: str) ->
     return spark.createDataFrame(report, "table string, status string, n_rows bigint, n_columns int")
 
 
-def save_predictions(predictions: DataFrame, path: str, summary: DataFrame | None = None) -> None:
-    """Prediction table as Parquet, with an optional one-row summary beside it."""
+def save_predictions(
+    predictions: DataFrame, path: str, summarise: Callable[[DataFrame], DataFrame] | None = None
+) -> int:
+    """Prediction table as Parquet, with an optional one-row summary beside it; the number of rows written.
+
+    ``summarise`` gets the written table, so predictions are computed once; the count reads footers only.
+    """
     predictions.write.mode("overwrite").parquet(path)
-    if summary is not None:
-        summary.write.mode("overwrite").parquet(f"{path.rstrip('/')}_summary")
+    written = predictions.sparkSession.read.schema(predictions.schema).parquet(path)
+    if summarise is not None:
+        summarise(written).write.mode("overwrite").parquet(f"{path.rstrip('/')}_summary")
+    return written.count()
 
 
 def save_json(df: DataFrame, path: str) -> None:

@@ -87,3 +87,15 @@ def test_attributions_add_up(clients):
         assert total[r["ID"]] == pytest.approx(r["score"] - base, abs=1e-9)
     top = attribution.top_attributions(found, 2)
     assert top.count() == 12
+
+
+def test_search_in_parallel_equals_one_trial_at_a_time(clients):
+    small = {"trials": 3, "k": 2, "maxIter": 2, "maxDepth": 2}
+    tables = [training.search(clients, training.plain_features(["AGE", "PAY_0"]), parallelism=p, **small).collect() for p in (1, 3)]
+    assert tables[0] == tables[1] and [r["trial"] for r in tables[0]] != [] and len(tables[0]) == 3
+    assert [r["cv_auc"] for r in tables[0]] == sorted((r["cv_auc"] for r in tables[0]), reverse=True)
+
+
+def test_a_failing_trial_ends_the_search(clients):
+    with pytest.raises(Exception, match="maxDepth"):
+        training.search(clients, ["AGE"], trials=3, k=2, maxIter=1, maxDepth=99)

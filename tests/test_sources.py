@@ -112,3 +112,23 @@ def test_parameters_are_one_row(spark):
     for wrong in (two, two.where("false")):
         with pytest.raises(PySparkException, match="one row"):
             matching.with_parameters(df, wrong).collect()
+
+
+def test_predictions_are_computed_once(spark, tmp_path):
+    """An accumulator sees each row once, also where a summary and a count follow."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        seen.add(1)
+        return i / 100.0
+
+    rows = spark.range(60, numPartitions=3).select(F.col("id").alias("ID"), score("id").alias("p"))
+    assert files.save_predictions(rows, f"{tmp_path}/p", lambda t: t.agg(F.max("p").alias("top"))) == 60 and seen.value == 60
+    assert spark.read.parquet(f"{tmp_path}/p_summary").first()["top"] == 0.59
+    assert files.save_predictions(rows.limit(0), f"{tmp_path}/none") == 0
+
+
+def test_conversion_of_an_empty_table(spark, tmp_path):
+    spark.range(0).write.parquet(f"{tmp_path}/none")
+    assert files.parquet_to_csv(spark, {"none": f"{tmp_path}/none"}, f"{tmp_path}/csv").first()["n_rows"] == 0
