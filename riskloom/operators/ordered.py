@@ -12,14 +12,13 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.runtime import pin
 
 ONE_TASK_ROWS = 200_000
-MOST_BUCKETS = 10_000
+SHORTEST_RANGE = 16  # ranges this long or longer are fewer than their points, so levels come to an end
 
 # Quantile brackets: the sketch is off by at most 1/ACCURACY of the ranks, and below
 # FEW_ROWS every value is kept, so a bracket of +-MARGIN always holds its target.
@@ -56,65 +55,69 @@ def running_totals(
     order: str,
     sums: Sequence[str],
     by: Sequence[str] = (),
-    spread: str | None = None,
     carry: Sequence[str] = (),
     one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Add ``<s>_below`` (sum over smaller ``order`` values) and ``<s>_total`` per group.
 
-    ``points`` holds one row per (group, order value).  ``spread`` is a numeric column
-    rising with ``order`` used only to cut the range into even buckets; ``carry``
-    columns also get ``<c>_prev``, the value on the next smaller row.
+    ``points`` holds one row per (group, order value).  ``carry`` columns also get
+    ``<c>_prev``, the value on the next smaller row.
 
-    Up to ``one_task_rows`` points (counted, not guessed) a single sort is cheapest.
-    Beyond that the points are cut into quantile buckets; each bucket is summed on its
-    own and shifted by the totals of the buckets before it, at most MOST_BUCKETS rows
-    per group.
+    Groups of up to ``one_task_rows`` points (counted, not guessed) are each sorted in one
+    task.  Beyond that the points are cut into ranges of (group, order) of about half that
+    size, as many as it takes; each range is summed on its own and shifted by the totals of
+    the ranges before it.  Those totals are points of the same kind, one per group and range,
+    and are summed by the same rule, so neither ranges nor levels have an upper bound.
     """
     by = list(by)
     points = pin(points)
-    size = points.count()
-    if size <= one_task_rows:
-        cut = points.withColumn("_bucket", F.lit(0.0))
-    else:
-        buckets = min(MOST_BUCKETS, math.ceil(size / one_task_rows) * 2)
-        shares = [i / buckets for i in range(1, buckets)]
-        image = F.col(spread or order).cast("double")
-        edges = points.agg(F.percentile_approx(image, shares, max(10_000, 4 * buckets))).first()[0]
-        splits = [-math.inf] + sorted(set(edges)) + [math.inf]
-        cut = Bucketizer(splits=splits, inputCol="_image", outputCol="_bucket").transform(
-            points.withColumn("_image", image)
-        ).drop("_image")
-
-    ordered = Window.partitionBy(*by, "_bucket").orderBy(order)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    cut_sums = {f"{s}_below": F.coalesce(F.sum(s).over(before), F.lit(0)) for s in sums}
-    previous = {f"{c}_prev": F.lag(c).over(ordered) for c in carry}
-    local = cut.withColumns({**cut_sums, **previous})
-    if size <= one_task_rows:
-        whole = Window.partitionBy(*by)
-        return local.withColumns({f"{s}_total": F.sum(s).over(whole) for s in sums}).drop("_bucket")
+    length = max(one_task_rows, SHORTEST_RANGE)
+    if _largest_group(points, by) <= length:
+        return _totals_in_groups(points, order, sums, by, carry)
+
+    place = f"{order}_range"  # another name at each level
+    ranges = 2 * math.ceil(points.count() / length)
+    cut = pin(
+        points.repartitionByRange(ranges, *by, order).withColumn(place, F.spark_partition_id().cast("bigint"))
+    )
+    local = _totals_in_groups(cut, order, sums, [*by, place], carry)
+    local = local.drop(*[f"{s}_total" for s in sums])
 
-    per_bucket = cut.groupBy(*by, "_bucket").agg(
+    per_bucket = cut.groupBy(*by, place).agg(
         *[F.sum(s).alias(f"_{s}") for s in sums],
         *[F.max_by(c, order).alias(f"_{c}_last") for c in carry],
     )
-    along = Window.partitionBy(*by).orderBy("_bucket")
-    earlier, everything = along.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
-    offsets = per_bucket.select(
-        *by, "_bucket",
-        *[F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}_before") for s in sums],
-        *[F.sum(f"_{s}").over(everything).alias(f"{s}_total") for s in sums],
-        *[F.lag(f"_{c}_last").over(along).alias(f"_{c}_prior") for c in carry],
+    above = running_totals(
+        per_bucket, place, [f"_{s}" for s in sums], by, carry=[f"_{c}_last" for c in carry], one_task_rows=one_task_rows
+    ).select(
+        *by, place, *[f"_{s}_below" for s in sums], *[F.col(f"_{s}_total").alias(f"{s}_total") for s in sums],
+        *[f"_{c}_last_prev" for c in carry],
     )
-    joined = join_groups(local, small_side(offsets), [*by, "_bucket"])
-    shifted = {f"{s}_below": F.col(f"{s}_below") + F.col(f"_{s}_before") for s in sums}
-    bridged = {f"{c}_prev": F.coalesce(f"{c}_prev", f"_{c}_prior") for c in carry}
+    joined = join_groups(local, small_side(above), [*by, place])
+    shifted = {f"{s}_below": F.col(f"{s}_below") + F.col(f"_{s}_below") for s in sums}
+    bridged = {f"{c}_prev": F.coalesce(f"{c}_prev", f"_{c}_last_prev") for c in carry}
     return joined.withColumns({**shifted, **bridged}).drop(
-        "_bucket", *[f"_{s}_before" for s in sums], *[f"_{c}_prior" for c in carry]
+        place, *[f"_{s}_below" for s in sums], *[f"_{c}_last_prev" for c in carry]
     )
 
 
+def _largest_group(points: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group of a pinned table."""
+    size = points.count()
+    if not by or size <= SHORTEST_RANGE:
+        return size
+    return points.groupBy(*by).count().agg(F.max("count")).first()[0]
+
+
+def _totals_in_groups(points: DataFrame, order: str, sums: Sequence[str], by: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """Sums below, totals and previous values, each group sorted in one task."""
+    ordered = Window.partitionBy(*by).orderBy(order)
+    before, whole = ordered.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    below = {f"{s}_below": F.coalesce(F.sum(s).over(before), F.lit(0)) for s in sums}
+    previous = {f"{c}_prev": F.lag(c).over(ordered) for c in carry}
+    return points.withColumns({**below, **previous}).withColumns({f"{s}_total": F.sum(s).over(whole) for s in sums})
+
+
 def _candidates(values: DataFrame, by: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """Collapse (by, spread, key) rows to those that may hold one of the target ranks.
 
@@ -164,7 +167,7 @@ def keys_at_ranks(values: DataFrame, by: Sequence[str], shares: Sequence[float],
     one row of ``share * n`` for one of the ``shares``.
     """
     ranked = running_totals(
-        _candidates(values, by, shares), "order", ["n"], by, spread="spread"
+        _candidates(values, by, shares), "order", ["n"], by
     ).withColumn("_rank", F.array(*ranks(F.col("n_total"))))
     count = len(ranks(F.lit(0)))
 

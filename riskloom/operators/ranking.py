@@ -45,8 +45,8 @@ def rank_models(models: DataFrame, metrics: Sequence[str] = tuple(RANKING_METRIC
     """Models with their rank by several metrics in turn; equal rows share a rank."""
     key = F.struct(*[(-F.col(m)).alias(m) for m in metrics])
     keyed = models.withColumn("_key", key)
-    points = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).withColumn("_image", F.col("_key")[metrics[0]])
-    places = running_totals(points, "_key", ["_n"], spread="_image")
+    points = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    places = running_totals(points, "_key", ["_n"])
     ranks = places.select("_key", (F.col("_n_below") + 1).cast("int").alias("rank"))
     return join_groups(keyed, ranks, ["_key"]).drop("_key")
 

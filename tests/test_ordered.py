@@ -11,18 +11,40 @@ def lists(spark, values, partitions=4):
 
 
 @pytest.mark.parametrize("carry", [(), ("n",)])
-def test_bucketed_totals_equal_the_single_sort(spark, carry):
+@pytest.mark.parametrize("rows", [500, 100])  # ranges of points, and ranges of ranges
+def test_bucketed_totals_equal_the_single_sort(spark, carry, rows):
     draw = np.random.default_rng(0)
     # a third of the rows share one value, and most others crowd into a narrow range
     values = np.concatenate([np.full(4000, 0.12), 0.12 + draw.random(6000) * 1e-6, draw.random(2000)])
     points = lists(spark, {"x": values, None: values[::2]}).groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
     one = ordered.running_totals(points, "v", ["n"], ["g"], carry=carry)
-    many = ordered.running_totals(points, "v", ["n"], ["g"], carry=carry, one_task_rows=500)
+    many = ordered.running_totals(points, "v", ["n"], ["g"], carry=carry, one_task_rows=rows)
     key = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
     assert key(one) == key(many)
     assert many.where("g = 'x'").agg(F.max("n_total")).first()[0] == len(values)
 
 
+def test_totals_of_ranges_are_cut_again(spark, monkeypatch):
+    levels, run = [], ordered.running_totals
+
+    def seen(points, *rest, **options):
+        levels.append(points.count())
+        return run(points, *rest, **options)
+
+    monkeypatch.setattr(ordered, "running_totals", seen)
+    points = spark.range(800).select(F.col("id").alias("v"), F.lit(1).alias("n"))
+    rows = ordered.running_totals(points, "v", ["n"], one_task_rows=16).collect()
+    assert all(r["n_below"] == r["v"] and r["n_total"] == 800 for r in rows) and len(rows) == 800
+    assert len(levels) >= 3 and levels == sorted(levels, reverse=True)
+
+
+def test_many_small_groups_need_no_ranges(spark):
+    points = spark.range(4000).select((F.col("id") % 800).alias("g"), F.col("id").alias("v"), F.lit(1).alias("n"))
+    rows = ordered.running_totals(points, "v", ["n"], ["g"], one_task_rows=20)
+    assert rows.where("n_total = 5 and n_below = (v - g) / 800").count() == 4000
+    assert sorted(rows.columns) == ["g", "n", "n_below", "n_total", "v"]
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 13, 999, 9000])
 def test_quantiles_equal_numpy(spark, n):
     draw = np.random.default_rng(n)

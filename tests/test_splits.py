@@ -56,9 +56,11 @@ def brute_bootstrap(rows, replicates, threshold):
     return np.array(out)
 
 
-@pytest.mark.parametrize("cells_per_task", [20_000, 10])
-def test_bootstrap_has_the_distribution_of_plain_resampling(scored, cells_per_task):
-    got = resampling.bootstrap_replicates(scored, 300, threshold=0.4, cells_per_task=cells_per_task).toPandas()
+@pytest.mark.parametrize("cells_per_task, children", [(20_000, 1000), (10, 1000), (3, 3)])  # one, two and several levels
+def test_bootstrap_has_the_distribution_of_plain_resampling(scored, cells_per_task, children):
+    got = resampling.bootstrap_replicates(
+        scored, 300, threshold=0.4, cells_per_task=cells_per_task, children=children
+    ).toPandas()
     assert sorted(got["replicate"]) == list(range(300))
     plain = brute_bootstrap(scored.collect(), 300, 0.4)
     for i, c in enumerate(("recall", "precision", "auc_roc")):
@@ -66,6 +68,12 @@ def test_bootstrap_has_the_distribution_of_plain_resampling(scored, cells_per_ta
         assert got[c].std() == pytest.approx(plain[:, i].std(), rel=0.3)
 
 
+def test_bootstrap_of_nothing(scored):
+    assert resampling.bootstrap_replicates(scored.where("false"), 5).count() == 0
+    with pytest.raises(ValueError):
+        resampling.bootstrap_replicates(scored, 5, children=1)
+
+
 def test_bootstrap_does_not_depend_on_partitioning(scored):
     runs = [resampling.bootstrap_replicates(scored.repartition(p), 60, 0.4).orderBy("replicate").collect() for p in (1, 16)]
     for a, b in zip(*runs):
