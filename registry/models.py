@@ -144,23 +144,27 @@ def _(spark, folder):
     return training.model_record(split, len(v.MODEL_FEATURES), training.GRADIENT_BOOSTING)
 
 
-def attributions(spark, folder, sample=None):
-    """Attributions of all rows, or of ``sample`` rows, against the documented background."""
-    rows = pin(featured(spark, folder, INPUTS))
-    names = training.plain_features(INPUTS)
-    model = training.fit_model(rows, "logistic_regression", names, scale=True, maxIter=20)
-    explained = rows if sample is None else attribution.hash_sample(rows, sample)
-    return attribution.shapley(
-        explained, attribution.hash_sample(rows, attribution.BACKGROUND_ROWS, seed=7), names,
-        lambda states: training.scored(model, states), orders=2,
-    )
+def explained(spark, folder):
+    """All rows, the documented background, and the scaled logistic model with its features."""
+    rows = pin(featured(spark, folder))
+    names = training.plain_features()
+    model = training.fit_model(rows, "logistic_regression", names, scale=True)
+    return rows, attribution.hash_sample(rows, attribution.BACKGROUND_ROWS, seed=7), model, names
 
 
 @query("shapley_ranking")
 def _(spark, folder):
-    return attribution.attribution_ranking(attributions(spark, folder, attribution.SAMPLE_ROWS))
+    rows, background, model, names = explained(spark, folder)
+    found = attribution.shapley(
+        attribution.hash_sample(rows, attribution.SAMPLE_ROWS), background, names, lambda states: training.scored(model, states)
+    )
+    return attribution.attribution_ranking(found)
 
 
 @query("top_attributions_per_row")
 def _(spark, folder):
-    return attribution.top_attributions(attributions(spark, folder))
+    """Parts of the log-odds of every row, exact for a linear model."""
+    rows, background, model, names = explained(spark, folder)
+    return attribution.top_attributions(
+        attribution.linear_shapley(rows, background, training.linear_weights(model, names))
+    )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import vocab as v
+from riskloom.operators.matching import single_row
 from riskloom.operators.ordered import small_side
 
 # fixed values: sizes of the explained sample and of the background
@@ -66,6 +67,23 @@ def shapley(
     return gains.groupBy(key, label.alias("feature")).agg(mean.alias("attribution"))
 
 
+def linear_shapley(rows: DataFrame, background: DataFrame, weights: Mapping[str, float], key: str = v.KEY) -> DataFrame:
+    """Rows (key, feature, attribution) of a score that is linear in its features, e.g. log-odds.
+
+    Every feature order gives a feature the same gain there, its weight times the distance from
+    the background's mean, so this is what ``shapley`` tends to with all orders, without a scored
+    state.  The attributions of a row add up to its score less the background's mean score.  A
+    NULL value has a NULL attribution; so has everything against an empty background.
+    """
+    names = list(weights)
+    means = single_row(background.agg(*[F.avg(F.col(f"`{f}`").cast("double")).alias(f"_mean_{i}") for i, f in enumerate(names)]))
+    gains = [
+        F.struct(F.lit(f).alias("feature"), (F.lit(float(weights[f])) * (F.col(f"`{f}`").cast("double") - F.col(f"_mean_{i}"))).alias("attribution"))
+        for i, f in enumerate(names)
+    ]
+    return rows.crossJoin(F.broadcast(means)).select(key, F.inline(F.array(*gains)))
+
+
 def attribution_ranking(attributions: DataFrame) -> DataFrame:
     """Rows (feature, mean_abs) by falling mean absolute attribution."""
     return attributions.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs")).orderBy(

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -297,6 +297,16 @@ def feature_importance(model: PipelineModel, features: Sequence[str], spark: Spa
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
+def linear_weights(model: PipelineModel, features: Sequence[str]) -> dict[str, float]:
+    """Log-odds that a unit of each feature adds in a fitted logistic model, its scaling undone."""
+    values = model.stages[-1].coefficients.toArray()
+    scalers = [stage for stage in model.stages if isinstance(stage, StandardScalerModel)]
+    if scalers:
+        spread = scalers[0].std.toArray()
+        values = [w / s if s > 0 else 0.0 for w, s in zip(values, spread)]  # a constant feature adds nothing
+    return {f: float(w) for f, w in zip(features, values)}
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from registry.common import panel
+from riskloom import vocab as v
 from riskloom.operators import attribution
 
 FOLDER = "/root/testdata/sf0.001"
@@ -25,5 +26,5 @@ def test_ranking_has_the_documented_sizes(spark, monkeypatch):
         return run(rows, background, *rest, **options)
 
     monkeypatch.setattr(attribution, "shapley", seen)
-    assert contract.queries()["shapley_ranking"](spark, FOLDER).count() == 8
+    assert contract.queries()["shapley_ranking"](spark, FOLDER).count() == len(v.MODEL_FEATURES) == 36
     assert sizes == [(100, 50)]

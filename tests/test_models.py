@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,40 @@ def test_attributions_add_up(clients):
     assert top.count() == 12
 
 
+def test_linear_attributions_equal_all_orders(clients):
+    weights = {"PAY_0": 2.0, "AGE": -0.5, "LIMIT_BAL": 1e-5, "BILL_AMT1": 3e-4}
+    names = list(weights)
+    rows = clients.select("ID", *names)
+    sample, background = pin(attribution.hash_sample(rows, 3)), pin(attribution.hash_sample(rows, 4, seed=1))
+    found = {(r["ID"], r["feature"]): r["attribution"] for r in attribution.linear_shapley(sample, background, weights).collect()}
+    value = lambda row: sum(weights[f] * float(row[f]) for f in names)
+    orders = list(itertools.permutations(names))
+    for row in sample.collect():
+        gains = dict.fromkeys(names, 0.0)
+        for base in background.collect():
+            for order in orders:
+                state = {f: base[f] for f in names}
+                for f in order:
+                    before = value(state)
+                    state[f] = row[f]
+                    gains[f] += (value(state) - before) / (4 * len(orders))
+        for f in names:
+            assert found[row["ID"], f] == pytest.approx(gains[f], abs=1e-7)
+
+
+@pytest.mark.parametrize("scale", [True, False])
+def test_linear_attributions_explain_the_log_odds_of_a_model(clients, scale):
+    names = ["PAY_0", "AGE", "LIMIT_BAL"]
+    model = training.fit_model(clients, "logistic_regression", names, scale=scale)
+    background = pin(attribution.hash_sample(clients, 20))
+    found = attribution.linear_shapley(clients, background, training.linear_weights(model, names))
+    total = {r["ID"]: r["t"] for r in found.groupBy("ID").agg(F.sum("attribution").alias("t")).collect()}
+    base = training.scored(model, background, margin="m").agg(F.avg("m")).first()[0]
+    margins = training.scored(model, clients, margin="m").select("ID", "m").collect()
+    assert len(margins) == len(total) > 0
+    assert all(total[r["ID"]] == pytest.approx(r["m"] - base, abs=1e-6) for r in margins)
+
+
 def test_search_in_parallel_equals_one_trial_at_a_time(clients):
     small = {"trials": 3, "k": 2, "maxIter": 2, "maxDepth": 2}
     tables = [training.search(clients, training.plain_features(["AGE", "PAY_0"]), parallelism=p, **small).collect() for p in (1, 3)]
