@@ -51,10 +51,55 @@ def run_to_table(stream: DataFrame, path: str | None = None, name: str = "stream
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def _run_batches(stream: DataFrame, mode: str, path: str | None, reduce=None) -> DataFrame:
+FOLD_EVERY = 32
+
+
+def _numbered(spark: SparkSession, target: str, kind: str, inside: str = "") -> list[int]:
+    """Numbers of the folders ``<kind>-<number>`` below a path, in order."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{kind}-[0-9]*{inside}")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    paths = [f.getPath().getParent() if inside else f.getPath() for f in found]
+    return sorted(int(p.getName().rsplit("-", 1)[1]) for p in paths)
+
+
+def _last_versions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in (*keys, "_batch")]
+    return rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), "_batch").alias("_last"), F.max("_batch").alias("_batch")
+    ).select(*keys, "_last.*", "_batch").select(*rows.columns)
+
+
+def _standing(spark: SparkSession, target: str, below: int | None = None) -> tuple[int, list[str]]:
+    """The last finished fold (-1: none) before ``below``, and the folders that hold all versions still needed."""
+    folds = [n for n in _numbered(spark, target, "fold", "/_SUCCESS") if below is None or n < below]
+    last = max(folds, default=-1)
+    kept = [f"{target}/fold-{last}"] if folds else []
+    return last, kept + [f"{target}/batch-{n}" for n in _numbered(spark, target, "batch") if n > last]
+
+
+def _fold(spark: SparkSession, target: str, keys: Sequence[str], number: int) -> None:
+    """Merge the fold before and all batches since into ``fold-<number>``.
+
+    What the fold before covers is deleted now and not sooner: its own batch is committed by the
+    time a later one runs, so a batch that is repeated finds all it merges.
+    """
+    last, folders = _standing(spark, target, number)
+    for kind, end in (("batch", last + 1), ("fold", last)):
+        for old in _numbered(spark, target, kind):
+            if old < end:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{kind}-{old}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    schema = spark.read.parquet(f"{target}/batch-none").schema
+    _last_versions(spark.read.schema(schema).parquet(*folders), keys).write.mode("overwrite").parquet(f"{target}/fold-{number}")
+
+
+def _run_batches(
+    stream: DataFrame, mode: str, path: str | None, reduce=None, keys: Sequence[str] | None = None, fold_every: int = FOLD_EVERY
+) -> DataFrame:
     """Write what each micro-batch brings, or its reduction, with the number of the batch.
 
-    A batch that is repeated after a failure replaces its own folder.
+    A batch that is repeated after a failure replaces its own folder.  With ``keys``, only the
+    last row of each key counts, and every ``fold_every`` batches are merged with all before.
     """
     spark = stream.sparkSession
     target = path or scratch_path(spark, "stream")
@@ -65,23 +110,29 @@ def _run_batches(stream: DataFrame, mode: str, path: str | None, reduce=None) ->
     def write(batch: DataFrame, number: int) -> None:
         rows = reduce(batch) if reduce else batch
         rows.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{target}/batch-{number}")
+        if keys and (number + 1) % fold_every == 0:
+            _fold(spark, target, keys, number)
 
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{target}-checkpoint")
         .trigger(availableNow=True).foreachBatch(write).start()
     )
     query.awaitTermination()
-    return spark.read.schema(empty.schema).parquet(f"{target}/batch-*")
+    _, folders = _standing(spark, target)
+    return spark.read.schema(empty.schema).parquet(f"{target}/batch-none", *folders)
 
 
-def run_windows(stream: DataFrame, keys: Sequence[str] = ("window_start", "window_end"), path: str | None = None) -> DataFrame:
+def run_windows(
+    stream: DataFrame, keys: Sequence[str] = ("window_start", "window_end"), path: str | None = None, fold_every: int = FOLD_EVERY
+) -> DataFrame:
     """All windows of an aggregated stream, open ones with what has come so far.
 
-    Every micro-batch writes the windows it changed; the last version of each counts.
+    Every micro-batch writes the windows it changed; the last version of each counts.  Versions
+    are merged every ``fold_every`` batches, so one of each window and those of at most twice as
+    many batches are kept, however long the stream runs.
     """
-    rest = [c for c in stream.columns if c not in keys]
-    rows = _run_batches(stream, "update", path)
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last")).select(*keys, "_last.*").select(*stream.columns)
+    rows = _run_batches(stream, "update", path, keys=keys, fold_every=fold_every)
+    return _last_versions(rows, keys).select(*stream.columns)
 
 
 def _window_columns(rows: DataFrame) -> DataFrame:
