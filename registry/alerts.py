@@ -51,7 +51,8 @@ CURRENT_SQL = f"""cu AS (SELECT unnest(['auc_roc','ks','recall','precision']) AS
 ))
 def _(spark, folder):
     metrics = to_long(classification_metrics(panel(spark, folder)), [m for m, _ in EXPECTED])
-    return rounded(alerting.performance_alerts(metrics, spark.createDataFrame(EXPECTED, "metric string, value double")))
+    found = alerting.performance_alerts(metrics, spark.createDataFrame(EXPECTED, "metric string, value double"))
+    return rounded(found.drop("metrics", "metadata"))
 
 
 @query("training_alerts", f"""WITH {APP}, {point_ctes('app', 'fold')}, r AS (SELECT 'run-' || fold AS run_id, CASE WHEN auc_roc>=0.85e0 THEN 'success' ELSE 'failed' END AS status FROM om)
@@ -61,13 +62,61 @@ def _(spark, folder):
 def _(spark, folder):
     rows = classification_metrics(panel(spark, folder), by=["fold"])
     status = F.when(F.col("auc_roc") >= 0.85, "success").otherwise("failed")
-    return alerting.training_alerts(rows.select(F.concat(F.lit("run-"), F.col("fold").cast("string")).alias("run_id"), status.alias("status")))
+    runs = rows.select(F.concat(F.lit("run-"), F.col("fold").cast("string")).alias("run_id"), status.alias("status"))
+    return alerting.training_alerts(runs).drop("metrics", "metadata")
 
 
 def channels(spark):
     return spark.createDataFrame([(c, c in ("slack", "email")) for c in alerting.CHANNELS], "channel string, enabled boolean")
 
 
+def entries_sql(title, **entries):
+    lines = " || ".join(f"E'  - {k}: ' || {x} || E'\\n'" for k, x in sorted(entries.items()))
+    return f"E'\\n**{title}:**\\n' || {lines}"
+
+
+DRIFT_RECORDS = f"""WITH {APP}, x AS ({long_sql(PANEL_FEATURES)}), {psi_ctes('x')}, h AS (SELECT feature, round(psi*20,4) AS csi FROM psi)
+    SELECT 'Data Drift Detected: ' || feature AS title, printf('Drift score (%.4f) exceeds threshold (%.4f). Consider retraining the model.', csi, 0.2e0) AS message,
+    CASE WHEN csi<0.3e0 THEN 'warning' ELSE 'critical' END AS severity,
+    {entries_sql('Metrics', drift_score='CAST(csi AS VARCHAR)', threshold="'0.2'", feature='feature')} AS m,
+    {entries_sql('Metadata', alert_type="'data_drift'", model="'credit-risk-model'")} AS d FROM h WHERE csi>0.2e0"""
+PERFORMANCE_RECORDS = f"""WITH {APP}, {point_ctes('app')}, {cells_sql('app', '[0.12e0]')}, {CURRENT_SQL}, {EXPECTED_SQL},
+    p AS (SELECT metric, now, expected, abs(now-expected)/expected*100 AS off FROM (SELECT metric, round(value,4) AS now, CAST(expected AS DOUBLE) AS expected FROM cu JOIN ex USING (metric)))
+    SELECT 'Model Performance Degradation: ' || metric AS title, printf('Current %s (%.4f) is %.1f%% below expected (%.4f). Investigate immediately.', metric, now, off, expected) AS message,
+    CASE WHEN off<20 THEN 'warning' ELSE 'error' END AS severity,
+    {entries_sql('Metrics', metric='metric', current_value='CAST(now AS VARCHAR)', expected_value='CAST(expected AS VARCHAR)', degradation_pct="printf('%.2f%%', off)")} AS m,
+    {entries_sql('Metadata', alert_type="'performance_degradation'", model="'credit-risk-model'")} AS d FROM p"""
+TRAINING_RECORDS = f"""WITH {APP}, {point_ctes('app', 'fold')}, r AS (SELECT round(auc_roc,4) AS auc, auc_roc>=0.85e0 AS good FROM om)
+    SELECT CASE WHEN good THEN 'Model Training Completed Successfully' ELSE 'Model Training Failed' END AS title,
+    CASE WHEN good THEN 'New model trained and ready for deployment.' ELSE 'Training pipeline encountered an error. Check logs for details.' END AS message,
+    CASE WHEN good THEN 'info' ELSE 'error' END AS severity, {entries_sql('Metrics', auc_roc='CAST(auc AS VARCHAR)')} AS m,
+    {entries_sql('Metadata', alert_type="'training'", status="CASE WHEN good THEN 'success' ELSE 'failed' END")} AS d FROM r"""
+
+
+@query("alert_log", f"""SELECT title, message, severity, TIMESTAMP '2024-01-31 00:00:00' AS ts, unnest(['slack','email']) AS channel, TRUE AS known,
+    CASE severity WHEN 'info' THEN 'ℹ️' WHEN 'warning' THEN '⚠️' WHEN 'error' THEN '❌' ELSE '🚨' END || ' **' || title || E'**\\n\\n' || message
+    || E'\\n\\n**Timestamp:** 2024-01-31 00:00:00\\n**Severity:** ' || upper(severity) || E'\\n' || m || d AS body
+    FROM (SELECT * FROM ({DRIFT_RECORDS}) UNION ALL SELECT * FROM ({PERFORMANCE_RECORDS}) UNION ALL SELECT * FROM ({TRAINING_RECORDS}))""")
+def _(spark, folder):
+    """Drift, performance and training alerts as one table, routed to the enabled channels with their full messages."""
+    indices = drift.csi(*sides(spark, folder), PANEL_FEATURES).withColumn("csi", F.round(F.col("csi") * 20, 4))
+    metrics = to_long(classification_metrics(panel(spark, folder)), [m for m, _ in EXPECTED])
+    per_fold = classification_metrics(panel(spark, folder), by=["fold"])
+    runs = per_fold.select(
+        F.concat(F.lit("run-"), F.col("fold").cast("string")).alias("run_id"),
+        F.when(F.col("auc_roc") >= 0.85, "success").otherwise("failed").alias("status"),
+        F.create_map(F.lit("auc_roc"), F.round("auc_roc", 4)).alias("metrics"),
+    )
+    records = alerting.alert_records([
+        alerting.drift_alerts(indices),
+        alerting.performance_alerts(
+            metrics.withColumn("value", F.round("value", 4)), spark.createDataFrame(EXPECTED, "metric string, value double")
+        ),
+        alerting.training_alerts(runs),
+    ], F.lit("2024-01-31 00:00:00").cast("timestamp_ntz"))
+    return alerting.route(alerting.with_bodies(records), channels(spark)).drop("metrics", "metadata")
+
+
 @query("alert_routing", f"WITH {ALERTS_SQL} SELECT alert_id, unnest(['slack','email']) AS channel, TRUE AS known FROM al WHERE severity='critical'")
 def _(spark, folder):
     return alerting.route(alerts(spark, folder).where("severity = 'critical'").select("alert_id"), channels(spark))

@@ -6,6 +6,7 @@ Sending is left to others; everything here is a table of alerts in, a table of a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,14 @@ def _text(number: Column) -> Column:
     return number.cast("string")
 
 
-def drift_alerts(indices: DataFrame, threshold: float = DRIFT_THRESHOLD, critical: float = DRIFT_CRITICAL) -> DataFrame:
+def _metadata(kind: str, **entries: Column) -> Column:
+    pairs = {"alert_type": F.lit(kind), **entries}
+    return F.create_map(*[x for name, value in pairs.items() for x in (F.lit(name), value)]).alias("metadata")
+
+
+def drift_alerts(
+    indices: DataFrame, threshold: float = DRIFT_THRESHOLD, critical: float = DRIFT_CRITICAL, model: str = MODEL_NAME
+) -> DataFrame:
     """One alert per feature whose index exceeds the threshold."""
     limit = F.lit(float(threshold))
     entries = F.create_map(
@@ -46,11 +54,13 @@ def drift_alerts(indices: DataFrame, threshold: float = DRIFT_THRESHOLD, critica
         texts.drift_message(F.col("csi"), limit).alias("message"),
         F.when(F.col("csi") < critical, "warning").otherwise("critical").alias("severity"),
         entries.alias("metrics"),
-        F.create_map(F.lit("alert_type"), F.lit("data_drift"), F.lit("model"), F.lit(MODEL_NAME)).alias("metadata"),
+        _metadata("data_drift", model=F.lit(model)),
     )
 
 
-def performance_alerts(current: DataFrame, expected: DataFrame, error: float = PERFORMANCE_ERROR) -> DataFrame:
+def performance_alerts(
+    current: DataFrame, expected: DataFrame, error: float = PERFORMANCE_ERROR, model: str = MODEL_NAME
+) -> DataFrame:
     """One alert per metric, by its relative distance from the expected value.
 
     The distance has no sign: a gain is reported just as a loss is.
@@ -60,26 +70,56 @@ def performance_alerts(current: DataFrame, expected: DataFrame, error: float = P
     )
     change = F.try_divide(F.abs(F.col("current") - F.col("expected")), F.col("expected")) * 100
     metric, now, then, degradation = [F.col(c) for c in ("metric", "current", "expected", "degradation")]
+    entries = F.create_map(
+        F.lit("metric"), metric, F.lit("current_value"), _text(now), F.lit("expected_value"), _text(then),
+        F.lit("degradation_pct"), F.format_string("%.2f%%", degradation),
+    )
     return both.withColumn("degradation", change).select(
         "metric", "degradation",
         texts.performance_title(metric).alias("title"),
         texts.performance_message(metric, now, degradation, then).alias("message"),
         F.when(degradation < error, "warning").otherwise("error").alias("severity"),
+        entries.alias("metrics"), _metadata("performance_degradation", model=F.lit(model)),
     )
 
 
 def training_alerts(runs: DataFrame) -> DataFrame:
-    """One alert per training run from its ``status``."""
+    """One alert per training run from its ``status``, with its map ``metrics`` of numbers if it has one."""
     good = F.col("status") == "success"
+    none = F.create_map().cast("map<string,string>")
+    entries = F.coalesce(F.col("metrics").cast("map<string,string>"), none) if "metrics" in runs.columns else none
     return runs.select(
         "run_id", "status",
         F.when(good, "Model Training Completed Successfully").otherwise("Model Training Failed").alias("title"),
         F.when(good, "New model trained and ready for deployment.")
         .otherwise("Training pipeline encountered an error. Check logs for details.").alias("message"),
         F.when(good, "info").otherwise("error").alias("severity"),
+        entries.alias("metrics"), _metadata("training", status=F.col("status")),
     )
 
 
+RECORD = ["title", "message", "severity", "ts", "metrics", "metadata"]
+
+
+def alert_records(tables: Sequence[DataFrame], at: Column) -> DataFrame:
+    """Alerts of any kinds as one table (title, message, severity, ts, metrics, metadata).
+
+    ``at`` is the time of alerts that have no ``ts`` of their own.
+    """
+    def record(table: DataFrame) -> DataFrame:
+        own = F.coalesce(F.col("ts"), at) if "ts" in table.columns else at
+        return table.select(*[own.alias(c) if c == "ts" else F.col(c) for c in RECORD])
+
+    return reduce(DataFrame.unionByName, [record(t) for t in tables])
+
+
+def with_bodies(records: DataFrame) -> DataFrame:
+    """Alert records with their full message as ``body``."""
+    time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    columns = [F.col(c) for c in ("title", "message", "severity")]
+    return records.withColumn("body", texts.alert_body(*columns, time, F.col("metrics"), F.col("metadata")))
+
+
 def route(alerts: DataFrame, channels: DataFrame, asked: Sequence[str] | None = None) -> DataFrame:
     """Rows (alert, channel): enabled channels, or those asked for; unknown ones are marked undelivered.
 

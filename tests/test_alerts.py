@@ -131,6 +131,44 @@ def test_streams_equal_batch_whatever_the_order(spark, tmp_path, files):
     assert sorted(map(tuple, got.select("window_start", "window_end", "n").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_versions_of_windows_fold(spark, tmp_path):
+    day = dt.timedelta(days=1)
+    rows = [(i, START + day * (i % 5), i) for i in range(44)]  # every window changes again and again
+    for i in range(22):
+        part = spark.createDataFrame(rows[2 * i : 2 * i + 2], "id int, ts timestamp, n int").coalesce(1)
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+        if i == 12:  # the stream ends in the middle and goes on later
+            first = run_daily(spark, tmp_path)
+            assert sum(r["n"] for r in first.collect()) == 26
+    out = run_daily(spark, tmp_path)
+    assert sorted(r["n"] for r in out.collect()) == [8, 9, 9, 9, 9]
+    numbers = {kind: monitors._numbered(spark, f"{tmp_path}/out", kind) for kind in ("batch", "fold")}
+    assert len(numbers["batch"]) <= 8 and len(numbers["fold"]) <= 2 and max(numbers["batch"]) >= 20
+    stale = monitors._standing(spark, f"{tmp_path}/out", numbers["fold"][-1])  # as if the last fold were repeated
+    assert len(stale[1]) == 1 + sum(n > stale[0] for n in numbers["batch"])
+
+
+def run_daily(spark, folder):
+    stream = monitors.read_table_stream(spark, f"{folder}/in", files_per_trigger=1).withWatermark("ts", "60 days")
+    counts = stream.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    windows = counts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
+    return monitors.run_windows(windows, path=f"{folder}/out", fold_every=4)
+
+
+def test_one_table_of_alerts(spark):
+    training = spark.createDataFrame([("r1", "success", {"auc": 0.5}), ("r2", "failed", None)], "run_id string, status string, metrics map<string,double>")
+    old = dt.datetime(2024, 1, 1)
+    drifted = alerting.drift_alerts(spark.createDataFrame([("AGE", 0.4)], "feature string, csi double"), model="m").withColumn("ts", F.lit(old))
+    records = alerting.alert_records([alerting.training_alerts(training), drifted], F.lit(START))
+    got = {r["title"]: r for r in alerting.with_bodies(records).collect()}
+    assert len(got) == 3 and got["Data Drift Detected: AGE"]["ts"] == old
+    assert got["Data Drift Detected: AGE"]["metadata"] == {"alert_type": "data_drift", "model": "m"}
+    failed = got["Model Training Failed"]
+    assert failed["metrics"] == {} and failed["metadata"] == {"alert_type": "training", "status": "failed"}
+    assert "**Metrics:**" not in failed["body"] and "- status: failed" in failed["body"]
+    assert "- auc: 0.5" in got["Model Training Completed Successfully"]["body"]
+
+
 def test_suppression_settles_and_forgets_as_time_goes_on(spark, tmp_path):
     df, rows = make(spark, 300)
     for i in range(3):  # files that follow each other, so that the watermark moves

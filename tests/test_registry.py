@@ -14,7 +14,7 @@ SAMPLE = [
     "order_line_metrics", "threshold_comparison", "reliability_quantile", "histograms_30", "csi_order_lines", "score_monitoring",
     "stratified_split_sizes", "fairness_by_age", "suppressed_repeats", "escalations", "stream_error_rates",
     "stream_psi_per_day", "stream_proxies_per_day", "stream_error_rates_sliding", "stream_suppress_since_kept", "stream_rate_limit",
-    "stream_escalations",
+    "stream_escalations", "alert_log", "training_alerts", "performance_alerts",
 ]
 
 
