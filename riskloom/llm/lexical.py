@@ -43,6 +43,8 @@ LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256)
 HASHES, BITS_PER_TERM = 3, 12
 #: documents in a block, bytes of text sorted into blocks at once, and bytes hashed at once
 BLOCK_ROWS, GROUP_BYTES, SLICE = 256, 8 << 20, 1 << 20
+#: blocks handed to a Python worker at once; a block has up to ``GROUP_BYTES`` of text (or one document) and its slices
+BLOCKS_AT_ONCE = 8
 #: bytes of the items' terms in one pass
 MOST_BYTES = 1 << 20
 
@@ -94,7 +96,10 @@ class Terms:
 
     def summed(self, gains: np.ndarray) -> np.ndarray:
         """Per item and document the sum of the rows of its terms."""
-        return np.add.reduceat(gains[self.flat], self.firsts, axis=0)
+        out = np.empty((len(self.firsts), gains.shape[1]), dtype=gains.dtype)
+        for item, terms in enumerate(np.split(self.flat, self.firsts[1:])):
+            gains[terms].sum(axis=0, out=out[item])
+        return out
 
 
 @dataclass(frozen=True)
@@ -315,7 +320,8 @@ def _highest_bounds(terms: Terms, corpus: Corpus, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, least = _Best(most), np.ones(len(terms.firsts), dtype=np.int64)
         for batch in batches:
-            for block in batch.to_pylist():
+            for i in range(batch.num_rows):
+                block = batch.slice(i, 1).to_pylist()[0]
                 n = len(block["sizes"])
                 best.add(bounds(block, terms, corpus), least, np.arange(n), np.full(n, block["block"]))
         yield from best.batch()
@@ -345,9 +351,15 @@ def _not_excluded(terms: Terms, corpus: Corpus, most: int, least: np.ndarray):
                 row = batch.slice(i, 1)
                 block = row.select(["block", "width", "sizes", "slices"]).to_pylist()[0]
                 open_ = np.flatnonzero((bounds(block, terms, corpus) >= least[:, None]).any(axis=0))
-                if len(open_):
-                    ids, sizes = _ids(row.column("ids")[0].as_py())[open_], np.asarray(block["sizes"])[open_]
-                    best.add(scores(row.column("texts")[0].values.take(pa.array(open_)), sizes, terms, corpus), least, ids, np.zeros(len(ids), int))
+                if not len(open_):
+                    continue
+                ids, sizes = _ids(row.column("ids")[0].as_py())[open_], np.asarray(block["sizes"])[open_]
+                texts = pa.RecordBatch.from_arrays([row.column("texts")[0].values.take(pa.array(open_))], names=["text"])
+                first = 0
+                for part in words.slices(texts, "text", SLICE):
+                    few = slice(first, first + part.num_rows)
+                    best.add(scores(part.column("text"), sizes[few], terms, corpus), least, ids[few], np.zeros(part.num_rows, int))
+                    first = few.stop
         yield from best.batch()
 
     return run
@@ -361,20 +373,26 @@ def _merged(found: DataFrame, most: int) -> DataFrame:
 
 
 def _search(docs: DataFrame, terms: Terms, most: int) -> DataFrame:
-    index = pin(build_index(docs, terms))
-    corpus = corpus_of(index, terms)
-    slices = index.select("block", "width", "sizes", "slices")
-    high = _merged(slices.mapInArrow(_highest_bounds(terms, corpus, AHEAD * most), _FOUND), AHEAD * most)
-    wanted = high.groupBy(F.col("more").alias("block")).agg(F.collect_set("doc_id").alias("columns"))  # at most ``AHEAD * most`` rows an item
-    few = index.select("block", "ids", "sizes", "texts").join(F.broadcast(wanted), "block").select(
-        F.explode("columns").alias("column"), "ids", "sizes", "texts"
-    ).select(*(F.get(c, F.col("column").cast("int")).alias(n) for c, n in (("ids", "doc_id"), ("sizes", "size"), ("texts", "text"))))
-    sure = _merged(few.mapInArrow(_scored(terms, corpus, most), _FOUND), most).filter(F.col("rank") == most).select("item", "score").collect()
+    spark = docs.sparkSession
+    with words.small_batches(spark):
+        index = pin(build_index(docs, terms))
+    with words.small_batches(spark, BLOCKS_AT_ONCE):
+        corpus = corpus_of(index, terms)
+        slices = index.select("block", "width", "sizes", "slices")
+        high = _merged(slices.mapInArrow(_highest_bounds(terms, corpus, AHEAD * most), _FOUND), AHEAD * most)
+        wanted = high.groupBy(F.col("more").alias("block")).agg(F.collect_set("doc_id").alias("columns"))  # at most ``AHEAD * most`` rows an item
+        wanted = pin(wanted)
+    with words.small_batches(spark):
+        few = index.select("block", "ids", "sizes", "texts").join(F.broadcast(wanted), "block").select(
+            F.explode("columns").alias("column"), "ids", "sizes", "texts"
+        ).select(*(F.get(c, F.col("column").cast("int")).alias(n) for c, n in (("ids", "doc_id"), ("sizes", "size"), ("texts", "text"))))
+        sure = _merged(few.mapInArrow(_scored(terms, corpus, most), _FOUND), most).filter(F.col("rank") == most).select("item", "score").collect()
     least = np.ones(len(terms.firsts), dtype=np.int64)
     for row in sure:  # at most one an item
         least[row["item"]] = row["score"]
     whole = index.select("block", "width", "ids", "sizes", "slices", "texts")
-    return _merged(whole.mapInArrow(_not_excluded(terms, corpus, most, least), _FOUND), most)
+    with words.small_batches(spark, BLOCKS_AT_ONCE):
+        return pin(_merged(whole.mapInArrow(_not_excluded(terms, corpus, most, least), _FOUND), most))
 
 
 def search(docs: DataFrame, items: DataFrame, most: int = MOST, most_bytes: int = MOST_BYTES) -> DataFrame:

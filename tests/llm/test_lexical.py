@@ -4,12 +4,14 @@ import collections
 import math
 import random
 import re
+import types
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from riskloom.llm import lexical
+from riskloom.runtime import pin
 
 TERM = re.compile(lexical.TERM)
 LOWER = str.maketrans(lexical.UPPER, lexical.LOWER)
@@ -99,3 +101,21 @@ def test_a_task_keeps_the_first_of_equals():
     best.add(np.array([[5, 5, 5, 0], [4, 9, 9, 8]]), least, ids, ids)
     item, score, kept, _ = best.kept()
     assert list(zip(item.tolist(), score.tolist(), kept.tolist(), strict=True)) == [(0, 5, 4), (0, 5, 7), (1, 9, 4), (1, 9, 7)]
+
+
+def test_open_documents_of_a_block_are_scored_in_slices(spark, monkeypatch):
+    """A block with megabytes of open texts is not hashed whole."""
+    text = " ".join(f"w{i}" for i in range(30_000))
+    docs = spark.createDataFrame([(i, f"needle {text}") for i in range(30)], "doc_id bigint, text string").coalesce(1)
+    terms = lexical.Terms.of([["needle"], ["needle", "w7"]])
+    index = pin(lexical.build_index(docs, terms))
+    corpus = lexical.Corpus(np.array([5, 9]), 30, 30 * 30_001)
+    whole = index.select("block", "width", "ids", "sizes", "slices", "texts").toArrow()
+    assert whole.num_rows == 1
+    hashed, hashes = [], lexical.words.word_hashes
+    monkeypatch.setattr(lexical.words, "word_hashes", lambda raw, *bounds: hashed.append(len(raw)) or hashes(raw, *bounds))
+    monkeypatch.setattr(lexical, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    found = list(lexical._not_excluded(terms, corpus, 50, np.ones(2, dtype=np.int64))(iter(whole.to_batches())))
+    rows = [r for batch in found for r in batch.to_pylist()]
+    assert [(r["item"], r["doc_id"]) for r in rows] == [(i, d) for i in (0, 1) for d in range(30)]
+    assert sum(hashed) > 4 * lexical.SLICE and max(hashed) <= lexical.SLICE
