@@ -135,3 +135,18 @@ def test_search_in_parallel_equals_one_trial_at_a_time(clients):
 def test_a_failing_trial_ends_the_search(clients):
     with pytest.raises(Exception, match="maxDepth"):
         training.search(clients, ["AGE"], trials=3, k=2, maxIter=1, maxDepth=99)
+
+
+def trees(model):
+    return model.stages[-1].toDebugString.split("\n", 1)[1]  # without the uid
+
+
+def test_boosting_reads_rows_without_their_lineage_and_is_the_same(clients, monkeypatch):
+    seen, fit = [], training.GBTClassifier._fit
+    monkeypatch.setattr(training.GBTClassifier, "_fit", lambda self, df: seen.append(df) or fit(self, df))
+    rows, names = pin(training.prepare(clients).coalesce(1)), training.plain_features()
+    model = training.fit_model(rows, "gradient_boosting", names, maxIter=3, maxDepth=3)
+    lineage = seen[0]._jdf.queryExecution().toRdd().toDebugString()
+    assert "CheckpointRDD" in lineage and "FileScan" not in lineage
+    assert trees(model) == trees(training.fit_model(rows, "gradient_boosting", names, cut=False, maxIter=3, maxDepth=3))
+    assert len(model.stages) == 2 and training.scored(model, rows).count() == 400
