@@ -177,6 +177,7 @@ def train(
     model = fit_model(parts.where("split = 'train'"), kind, names, seed=seed, **settings)
     margin = calibration == "sigmoid"
     raw = scored(model, parts, "raw_score", "margin" if margin else None)
+    raw = pin(raw.select(v.KEY, v.TARGET, "split", "raw_score", *(["margin"] if margin else [])))  # the trees are walked once
     if calibration == "none":
         calibrator, final = None, raw.withColumn("score", F.col("raw_score"))
     else:

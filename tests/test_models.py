@@ -150,3 +150,11 @@ def test_boosting_reads_rows_without_their_lineage_and_is_the_same(clients, monk
     assert "CheckpointRDD" in lineage and "FileScan" not in lineage
     assert trees(model) == trees(training.fit_model(rows, "gradient_boosting", names, cut=False, maxIter=3, maxDepth=3))
     assert len(model.stages) == 2 and training.scored(model, rows).count() == 400
+
+
+def test_training_scores_its_rows_once(clients, monkeypatch):
+    read, fit = [], training.fit_calibrator
+    monkeypatch.setattr(training, "fit_calibrator", lambda df, *rest: read.append(df) or fit(df, *rest))
+    training.train(clients, "random_forest", "sigmoid", numTrees=2, maxDepth=2)
+    plan = read[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "margin" in plan and "UDF(" not in plan  # stored scores, not the model over the rows
